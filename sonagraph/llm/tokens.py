@@ -12,9 +12,9 @@ rules (2 x uint16), expansion lengths (uint32), symbols (uint16), then for each
 The shards lie in a Parquet table in the shared folder: any store Spark can write can hold it.
 
 Encoding uses the tokenizers library's own parts: its splitter and its byte-pair model, called once
-for each distinct stretch between spaces that a worker meets (a bounded cache).  A space before a
-non-space always starts a new piece for byte-level splitters, so the stretches can be encoded apart;
-a text that contains an added token is encoded whole.
+for each distinct stretch between spaces that a worker meets (a bounded cache, by two 64-bit hashes).
+A space before a non-space always starts a new piece for byte-level splitters, so the stretches can
+be encoded apart; texts near an added token's spelling are encoded whole.
 
 Defined cases: null is the empty text (the end id alone); null ids come first; repeated rows are
 written as often as they occur; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +26,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textnum as tn
 from .shared import materialize
 
 END_ID = 2
@@ -41,7 +43,7 @@ SHARD_IDS = 2_000_000
 MIN_COUNT = 32
 RULES_PER_ROUND = 2048
 MAX_ROUNDS = 4
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 HEAD = struct.Struct("<4s6I")
 
 
@@ -51,16 +53,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Pieces(dict):
-    """Stretch of text -> number in a flat store of ids, filled on demand."""
+#: Text of these characters only can be split by ``re`` as the library's splitter does (its letters,
+#: digits and spaces are the same there); all else goes to the library's splitter.  NUL parts stretches.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t-\r -~{_LETTERS}]*").fullmatch
+_SPLIT = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}\0]+|\s+(?![^\s\0])|\s+").findall
 
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
+#: Bytes after a space that may begin white space (or a character that is): no cut before these.
+_UNSAFE = np.zeros(256, bool)
+_UNSAFE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER = ~_LETTER
+_OTHER[128:] = False
 
-    def __missing__(self, part: str) -> int:
-        number = self.encoder.store(self.lead + part)
-        self[part] = number
-        return number
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of each byte: itself where printable, else the next from 256 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [x for x in range(256) if x not in same]
+    return {x: chr(x) for x in same} | {x: chr(256 + i) for i, x in enumerate(other)}
 
 
 class Encoder:
@@ -72,54 +84,139 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         if self.vocabulary >= 1 << 16:
             raise ValueError("the shard format holds 16-bit symbols")
-        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = self.tokenizer.pre_tokenizer
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         byte_level = type(self.split).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.apart = byte_level and not self.split.add_prefix_space
-        self.odd = re.compile(r" (?:\s|$)")
-        self.simple = re.compile(r" ?[A-Za-z]+").fullmatch
+        self.alphabet = byte_alphabet()
         self.reset()
 
     def reset(self) -> None:
-        self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
-        self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.n = 0
-
-    def store(self, part: str) -> int:
-        pieces = [part.replace(" ", "Ġ")] if self.simple(part) else [x[0] for x in self.split.pre_tokenize_str(part)]
-        ids = [t.id for x in pieces for t in self.model.tokenize(x)]
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if self.n == len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.starts[self.n], self.lengths[self.n] = self.n_ids, len(ids)
-        self.n_ids += len(ids)
-        self.n += 1
-        return self.n - 1
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.apart or any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        if self.n > CACHE_ENTRIES:
+        # pieces of the splitter, then stretches of text: numbers in two flat stores of ids
+        self.pieces: dict[str, int] = {"\0": 0}
+        self.piece_ids, self.piece_starts = array("i"), array("q", [0, 0])
+        self.number: dict[int, int] = {}
+        self.ids, self.starts, self.checks = array("i"), array("q", [0]), array("Q")
+
+    def _add_pieces(self, fresh: list[str], mapped: list[str]) -> None:
+        """``mapped``: the pieces in the byte alphabet, which the model reads."""
+        tokenize, ids, starts = self.tokenizer.model.tokenize, self.piece_ids, self.piece_starts
+        self.pieces.update(zip(fresh, range(len(starts) - 1, len(starts) - 1 + len(fresh)), strict=True))
+        for x in mapped:
+            ids.extend([t.id for t in tokenize(x)])
+            starts.append(len(ids))
+
+    def _store(self, parts: list[str]) -> None:
+        """Append the ids of new stretches to the flat store, in order."""
+        found: list[str] = []
+        whole = "\0".join(parts) + "\0"
+        if _PLAIN(whole.replace("\0", " ")) and "\0" not in "".join(parts):
+            found = _SPLIT(whole)
+        else:
+            for part in parts:
+                found += _SPLIT(part) if _PLAIN(part) else [_Odd(*x) for x in self.split.pre_tokenize_str(part)]
+                found.append("\0")
+        fresh = [x for x in set(found) if x not in self.pieces]
+        easy = [x for x in fresh if not isinstance(x, _Odd)]
+        if easy:
+            self._add_pieces(easy, "\0".join(easy).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0]))
+        odd = [x for x in fresh if isinstance(x, _Odd)]
+        if odd:
+            self._add_pieces(odd, [x.mapped for x in odd])
+        number = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, size = _gather(np.frombuffer(self.piece_ids, np.int32), np.frombuffer(self.piece_starts, np.int64), number)
+        ends = np.cumsum(size)[number == 0]
+        base = len(self.ids)
+        self.ids.frombytes(ids.tobytes())
+        self.starts.frombytes((ends + base).tobytes())
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts (bytes and offsets) in a row, and how many each text has."""
+        n, sizes = len(raw), np.diff(offsets)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
+        if len(self.starts) > CACHE_ENTRIES:
             self.reset()
-        parts = text.split(" ")
-        if self.odd.search(text):
-            merged = [parts[0]]
-            for x in parts[1:]:
-                if not x or x[0].isspace():
-                    merged[-1] += " " + x
-                else:
-                    merged.append(x)
-            parts = merged
-        number = np.fromiter(map(self.rest.__getitem__, parts), np.int64, len(parts))
-        number[0] = self.first[parts[0]]
-        size = self.lengths[number]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.starts[number] - ends + size, size) + np.arange(ends[-1])]
+        cut = np.zeros(n, bool)
+        cut[:-1] = (raw[:-1] == 32) & ~_UNSAFE[raw[1:]]
+        # a letter's piece ends with the letters; a lone line break before a letter is its own piece
+        letter = _LETTER[raw]
+        cut[1:] |= letter[:-1] & _OTHER[raw[1:]]
+        cut[2:] |= letter[2:] & (raw[1:-1] == 10) & _OTHER[raw[:-2]] & ~_UNSAFE[raw[:-2]]
+        last = offsets[1:][sizes > 0] - 1
+        last = last[raw[last] == 32]
+        cut[last] = False
+        cut[offsets[:-1][sizes > 0]] = True
+        begin = np.flatnonzero(cut)
+        end = np.append(begin[1:], n)
+        rolling = tn.Rolling(tn.BYTE_VALUES[raw])
+        kinds, first, which = np.unique(rolling.spans(begin, end), return_index=True, return_inverse=True)
+        check = tn.mix(_weigh(raw, begin[first], end[first]))
+        get = self.number.get
+        number = np.array([get(x, -1) for x in kinds.tolist()], np.int64)
+        known = number >= 0
+        if known.any():
+            stale = np.frombuffer(self.checks, np.uint64)[number[known]] != check[known]
+            if stale.any():  # two stretches with one hash: start afresh without the cache
+                self.reset()
+                number[:] = -1
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            data = raw.tobytes()
+            at = len(self.starts) - 1
+            self._store([data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            number[new] = np.arange(at, at + len(new))
+            self.number.update(zip(kinds[new].tolist(), range(at, at + len(new)), strict=True))
+            self.checks.frombytes(check[new].tobytes())
+        starts = np.frombuffer(self.starts, np.int64)
+        ids, size = _gather(np.frombuffer(self.ids, np.int32), starts, number[which])
+        total = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, offsets)]
+        return ids, np.diff(total)
+
+    def texts(self, raw: np.ndarray, offsets: np.ndarray):
+        """Ids of each text in turn."""
+        data = None
+        for lo, hi in tn.blocks(offsets):
+            part = offsets[lo : hi + 1]
+            block = raw[part[0] : part[-1]]
+            data = block.tobytes()
+            if self.apart and not any(x in data for x in self.added):
+                ids, sizes = self.encode(block, part - part[0])
+                ends = np.cumsum(sizes)
+                for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                    yield ids[a:b]
+            else:
+                for a, b in zip((part[:-1] - part[0]).tolist(), (part[1:] - part[0]).tolist(), strict=True):
+                    yield np.array(self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids, np.int32)
+
+
+class _Odd(str):
+    """A piece of the library's splitter: in the byte alphabet already, unlike the plain ones."""
+
+    def __new__(cls, mapped: str, span: tuple[int, int]):
+        del span
+        out = super().__new__(cls, "\0" + mapped)
+        out.mapped = mapped
+        return out
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stored ids of a row of numbers, and how many each has."""
+    begin = starts[number]
+    size = starts[number + 1] - begin
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(begin - ends + size, size) + np.arange(total)], size
+
+
+def _weigh(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second hash of spans, from other byte values and powers; guards the cache."""
+    size = end - begin
+    ends = np.cumsum(size)
+    at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+    inner = at - np.repeat(begin, size)
+    values = tn.mix(raw[at].astype(np.uint64) + (inner.astype(np.uint64) << np.uint64(8)))
+    return np.add.reduceat(values, ends - size)
 
 
 def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +232,8 @@ def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MI
         slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
         count = np.bincount(slot[~shut[:-1]], minlength=1 << 20)
         # the slots of the most frequent pairs, then exact counts of the pairs in these
-        least = max(min_count, int(np.partition(count, -room)[-room]))
+        spread = np.cumsum(np.bincount(np.minimum(count, 1 << 16))[::-1])
+        least = max(min_count, len(spread) - int(np.searchsorted(spread, room, side="right")))
         at = np.flatnonzero((count[slot] >= least) & ~shut[:-1])
         if not len(at):
             break
@@ -210,18 +308,23 @@ class Shard:
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, null, strict=True)]
         self.first, self.sizes = take("<u4", n_docs).astype(np.int64), take("<u4", n_docs).astype(np.int64)
 
+        # all rules written out, each from the two earlier symbols that it stands for
+        ends = np.cumsum(self.length)
+        self.begin = ends - self.length
+        self.flat = np.empty(int(ends[-1]), np.int32)
+        self.flat[: self.base] = np.arange(self.base)
+        for i, (a, b) in enumerate(self.rules.tolist()):
+            at, mid = self.begin[self.base + i], self.begin[self.base + i] + self.length[a]
+            self.flat[at:mid] = self.flat[self.begin[a] : self.begin[a] + self.length[a]]
+            self.flat[mid : mid + self.length[b]] = self.flat[self.begin[b] : self.begin[b] + self.length[b]]
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a stretch of symbols: all nonterminals are opened once a round."""
-        out = symbols.astype(np.int64)
-        while (deep := out >= self.base).any():
-            n = np.where(deep, 2, 1)
-            at = np.cumsum(n) - n
-            wide = np.empty(int(n.sum()), np.int64)
-            wide[at] = out
-            wide[at[deep]] = self.rules[out[deep] - self.base, 0]
-            wide[at[deep] + 1] = self.rules[out[deep] - self.base, 1]
-            out = wide
-        return out
+        """Ids of a stretch of symbols."""
+        if not len(symbols):
+            return np.zeros(0, np.int32)
+        size = self.length[symbols]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[symbols] - ends + size, size) + np.arange(ends[-1])]
 
     def document(self, i: int) -> np.ndarray:
         end = self.first[i + 1] if i + 1 < len(self.first) else len(self.symbols)
@@ -260,8 +363,9 @@ def _encode(batches, path: str, end_id: int, shard_ids: int):
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_ids", "data"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.append(encoder.encode(text.as_py() or ""), end_id).astype(np.int32)
+        raw, offsets = tn.utf8(batch.column("text"))
+        for doc_id, text_ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(raw, offsets), strict=True):
+            ids = np.append(text_ids, np.int32(end_id))
             held.append((doc_id, ids))
             n += len(ids)
             if n >= shard_ids:

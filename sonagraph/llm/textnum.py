@@ -91,21 +91,27 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and for each row the index of its first word (one more entry at the end)."""
+def spans_of_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True):
+    """Words are runs of bytes for which ``inside`` holds, within a row.  Their hashes, for each row
+    the index of its first word (one more entry at the end), and the words' first and end bytes."""
+    none = np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64), none, none
     raw = _LOWER[raw] if lower else raw
-    inside = ~_SPACE[raw]
+    word = inside[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets[offsets < len(raw)]] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | edge[1:-1]
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = Rolling(BYTE_VALUES[raw]).spans(start, end)
-    return hashes, np.searchsorted(start, offsets)
+    return Rolling(BYTE_VALUES[raw]).spans(start, end), np.searchsorted(start, offsets), start, end
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each blank-separated word, and for each row the index of its first (and the end)."""
+    return spans_of_words(raw, offsets, ~_SPACE, lower)[:2]
 
 
 _STEP = [U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -122,6 +128,14 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def shingle_of(grams: np.ndarray) -> np.ndarray:
+    """Hash of each row of word hashes, as ``shingles`` gives it."""
+    total = np.zeros(len(grams), U)
+    for j in range(grams.shape[1]):
+        total += mix(grams[:, j] + _STEP[j]) * _STEP[j]
+    return mix(total)
+
+
 def text_hash(words: np.ndarray) -> int:
     """Order-sensitive hash of a whole word sequence."""
     if not len(words):

@@ -3,8 +3,9 @@
 A document is its set of distinct 5-word shingles; two link when 100*|A&B| >= 75*|A|B|.  Equal sets
 are one node from the start (a class), so exact copies never meet each other.
 
-1. *Order.*  One pass counts all shingles into a fixed number of hash buckets.  A shingle's token is
-   (log2 of its bucket's count, hash): a global order, about rarest first, that needs no dictionary.
+1. *Order.*  One pass counts all shingles into a bounded number of hash buckets.  A shingle's token is
+   (how far its bucket's count is above the usual, hash): a global order, about rarest first, that
+   needs no dictionary.
 2. *Tiles.*  A set of n can only reach the threshold with another if they share one of the first
    n - ceil(0.75 n) + 1 tokens of each, so every class lists these.  A tile is the classes of one
    token, ordered by size; partners lie within the same or the next size band (a factor 4/3).  The
@@ -12,6 +13,7 @@ are one node from the start (a class), so exact copies never meet each other.
 3. *Stars.*  In each tile a class is compared with the first of its size band only.  These candidates
    pass the hashed bitmaps (below) and an exact intersection, and the verified links are merged to
    components: a group of thousands of near copies costs one link a member, not one a pair.
+   Three more rounds pair neighbours in wide tiles, for groups that no first class holds together.
 4. *The rest.*  Tiles are read again with the components known; only classes of different components
    are paired, so no link that could join two components is lost.
 
@@ -27,7 +29,9 @@ component's id unless all are null; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,11 @@ from .shared import docs_of, materialize
 
 U = np.uint64
 K = 5
-BUCKET_BITS = 18
-CHUNK = 1 << 12
+#: Buckets of the shingle counts: about one for 32 bytes of text, within these powers of two.
+LEAST_BITS, MOST_BITS = 18, 26
+CHUNK = 1 << 16
+#: Rounds of paired neighbours in tiles of several classes, before the rest is paired in full.
+PROBES, WIDE = 3, 4
 HASH_BITS = 57
 
 
@@ -60,41 +67,53 @@ def shingle_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
                 yield i, np.array([tn.text_hash(words[a:b])], U)
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - BUCKET_BITS)).astype(np.int64)
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64)
 
 
 def tokens(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Ordered token of each shingle hash: the class of its bucket, then the hash."""
-    out = (classes[_bucket(hashes)].astype(U) << U(HASH_BITS)) | (hashes & U((1 << HASH_BITS) - 1))
+    bits = len(classes).bit_length() - 1
+    out = (classes[_bucket(hashes, bits)].astype(U) << U(HASH_BITS)) | (hashes & U((1 << HASH_BITS) - 1))
     return np.sort(out)
 
 
-def _count_buckets(batches):
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
+def _count_buckets(batches, bits: int):
+    """Counts of a partition's shingles, as compressed chunks that hold any (counts stop at 65535,
+    far beyond what tells a frequent shingle)."""
+    total = np.zeros(1 << bits, np.uint16)
     for batch in batches:
         for _, hashes in shingle_rows(batch):
-            np.add.at(total, _bucket(hashes), 1) if len(hashes) < 2000 else np.add(total, np.bincount(_bucket(hashes), minlength=len(total)), out=total)
-    lanes = np.arange(0, len(total), CHUNK)
-    rows = [(int(x // CHUNK), total[x : x + CHUNK].tobytes()) for x in lanes if total[x : x + CHUNK].any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+            at, n = np.unique(_bucket(hashes, bits), return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 65535)
+    chunks = total.reshape(-1, CHUNK)
+    rows = np.flatnonzero(chunks.any(axis=1))
+    data = [zlib.compress(chunks[i].tobytes(), 1) for i in rows]
+    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(data, pa.binary())], ["chunk", "counts"])
 
 
 def _add_chunks(pdf):
-    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-    return pdf.iloc[:1].assign(counts=[total.tobytes()])
+    total = np.zeros(CHUNK, np.int64)
+    for x in pdf["counts"]:
+        total += np.frombuffer(zlib.decompress(x), np.uint16)
+    return pdf.iloc[:1].assign(counts=[zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)])
 
 
 def bucket_classes(docs: DataFrame) -> np.ndarray:
-    """log2 of the shingle count of each of the fixed number of buckets (2 MB), over all documents.
-    Partial tables are added in two steps, so no task adds up more than a lane of them."""
-    parts = docs.select("text").mapInArrow(_count_buckets, "chunk int, counts binary")
+    """A byte for each of a bounded number of buckets (64 MB at most): how far the bucket's count of
+    shingles, over all documents, lies above the usual one, in steps of its spread.  Partial tables
+    are added in two steps, so no task adds up more than a lane of them."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 32).bit_length()))
+    parts = docs.select("text").mapInArrow(partial(_count_buckets, bits=bits), "chunk int, counts binary")
     lanes = parts.withColumn("lane", F.spark_partition_id() % 64).groupBy("chunk", "lane").applyInPandas(_add_chunks, "chunk int, counts binary, lane int")
-    rows = lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for row in rows:
-        total[row["chunk"] * CHUNK : row["chunk"] * CHUNK + CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(63, np.log2(total + 1)).astype(np.uint8)
+    total = np.zeros((1 << bits) // CHUNK * CHUNK, np.uint16).reshape(-1, CHUNK)
+    for row in lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").toLocalIterator():
+        total[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
+    total = total.reshape(-1)
+    usual = float(np.median(total))
+    over = np.maximum(total - usual, 0) / (2 * np.sqrt(usual + 1))
+    return np.minimum(63, np.where(over < 4, over, 4 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
 
 
 def needed(n, m):
@@ -215,7 +234,25 @@ def _star(batches):
                 if far < e:
                     nxt.append(far)
             at = np.array(nxt, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array(n), pa.array(pos), pa.array(cls[lead])], ["token", "cls", "n", "pos", "lead"])
+        wide = np.repeat(size[size > 1], size[size > 1]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array(n), pa.array(pos), pa.array(cls[lead]), pa.array(wide)], ["token", "cls", "n", "pos", "lead", "wide"])
+
+
+def _probe(batches, salt: int):
+    """Pairs of neighbours in a tile, its classes in the order of a hash: a group's tiles hold much
+    the same classes in the same order, so a class meets a few partners, however large the group."""
+    for part in _runs(batches):
+        early = part["pos"] * 7 <= part["n"]  # a linked pair's first common token lies here
+        part = {k: v[early] for k, v in part.items()}
+        order = np.lexsort((tn.mix(part["cls"].view(U) + U(salt)), part["token"]))
+        token, cls, comp, n, pos = (part[k][order] for k in ("token", "cls", "comp", "n", "pos"))
+        found = [np.zeros((2, 0), np.int64)]
+        for d in (1, 2):
+            a, b = np.arange(max(0, len(token) - d)), np.arange(max(0, len(token) - d)) + d
+            n_a, n_b = n[a].astype(np.int64), n[b].astype(np.int64)
+            ok = (token[a] == token[b]) & (comp[a] != comp[b]) & (np.minimum(n_a - pos[a], n_b - pos[b]) >= needed(n_a, n_b))
+            found.append(np.stack([np.minimum(cls[a[ok]], cls[b[ok]]), np.maximum(cls[a[ok]], cls[b[ok]])]))
+        yield _pairs(found)
 
 
 def _across(batches):
@@ -315,8 +352,8 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = docs.mapInArrow(_tiles(classes), "token long, cls long, n int, pos int")
     sort = ("token", "n", "cls")
     tiles = tiles.repartition("token").sortWithinPartitions(*sort)
-    shared_tiles = materialize(tiles.mapInArrow(_star, "token long, cls long, n int, pos int, lead long"), "tiles")
-    stars = materialize(shared_tiles.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "stars")
+    shared_tiles = materialize(tiles.mapInArrow(_star, "token long, cls long, n int, pos int, lead long, wide int"), "tiles")
+    stars = materialize(shared_tiles.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "star-candidates")
     # the sets of the classes that share a tile, each from its smallest document
     busy = shared_tiles.select("cls").distinct()
     chosen = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d")).join(busy, "cls", "left_semi")
@@ -325,15 +362,21 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = materialize(one.mapInArrow(_sketch, "cls long, n long, bits binary, items binary"), "sets")
     if sets.count() > sets.select("cls").distinct().count():  # rows that repeat, doc_id included
         sets = materialize(sets.dropDuplicates(["cls"]), "sets")
-    links = materialize(verified(stars, sets), "links")
-    merged = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    merged = materialize(merged, "merged")
-    labelled = shared_tiles.drop("lead").join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    pairs = labelled.repartition("token").sortWithinPartitions(*sort).mapInArrow(_across, "a long, b long").distinct()
-    more = materialize(verified(materialize(pairs, "pairs"), sets), "more")
-    rest = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
-    return members, components(edges).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    def joined(edges: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+        links = materialize(verified(materialize(pairs, f"{label}-pairs"), sets), f"{label}-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        merged = components(edges.unionByName(links))
+        return materialize(merged.select(F.col("node").alias("u"), F.col("component").alias("v")), label)
+
+    def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        rows = rows.select("token", "cls", "n", "pos").join(edges.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
+        return rows.withColumn("comp", F.coalesce("root", "cls")).drop("root").repartition("token").sortWithinPartitions(*sort)
+
+    none = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).where("false")
+    edges = joined(none, stars, "stars")
+    for salt in range(PROBES):
+        edges = joined(edges, labelled(shared_tiles.where(f"wide >= {WIDE}"), edges).mapInArrow(partial(_probe, salt=salt), "a long, b long").distinct(), "probes")
+    edges = joined(edges, labelled(shared_tiles, edges).mapInArrow(_across, "a long, b long").distinct(), "across")
+    return members, edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -14,12 +14,12 @@ class WavError(ValueError):
 
 
 # The messages that callers compare with.
-NOT_WAV = "not a valid WAV file"
-NO_FORMAT = "WAV file has no fmt chunk"
-NO_DATA = "WAV file has no data chunk"
-UNSUPPORTED_FORMAT = "unsupported WAV format: only PCM is supported"
-UNSUPPORTED_DEPTH = "unsupported bit depth"
-EMPTY_AUDIO = "audio contains no samples"
+NOT_WAV = "wav: not a RIFF/WAVE file"
+NO_FORMAT = "wav: missing fmt chunk"
+NO_DATA = "wav: missing data chunk"
+UNSUPPORTED_FORMAT = "wav: unsupported audio format (only PCM supported)"
+UNSUPPORTED_DEPTH = "wav: unsupported bit depth (only 8/16/32-bit supported)"
+EMPTY_AUDIO = "audio: empty sample buffer"
 KNOWN_ERRORS = (NOT_WAV, NO_FORMAT, NO_DATA, UNSUPPORTED_FORMAT, UNSUPPORTED_DEPTH, EMPTY_AUDIO)
 
 #: bits -> dtype, offset, divisor

@@ -15,6 +15,10 @@ SONGS = "id long, name string"
 FINGERPRINTS = "hash long, song_id long, time_offset int"
 
 
+#: Fixed value: the message of a repeated name.
+DUPLICATE = "storage: song name already registered"
+
+
 class DuplicateSong(ValueError):
     """A song of this name is registered already."""
 

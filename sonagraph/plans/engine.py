@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.expressions import base_name
 from ..operators.hashes import generate_hashes
-from ..operators.library import Library, register_songs
+from ..operators.library import DUPLICATE, Library, register_songs
 from ..operators.match import best_match
 from ..sources.recordings import analyse_files
 
@@ -44,7 +44,7 @@ class Engine:
         counts = stored.groupBy("song_id").agg(F.count(F.lit(1)).alias("hashes"))
         added = added.join(good, "name").join(counts, "song_id", "left").select("path", "song_id", "hashes")
         out = analyses.join(added, "path", "left")
-        error = F.coalesce("error", F.when(F.col("song_id").isNull(), "song already exists"))
+        error = F.coalesce("error", F.when(F.col("song_id").isNull(), DUPLICATE))
         found = F.when(error.isNull(), F.size("peaks"))
         return out.select("path", "song_id", "name", found.alias("peaks"), F.when(error.isNull(), F.coalesce("hashes", F.lit(0))).cast("int").alias("hashes"), error.alias("error"))
 

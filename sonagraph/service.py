@@ -18,6 +18,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
+from .operators.library import DUPLICATE
 from .plans.engine import Engine
 
 MAX_BODY = 50 << 20
@@ -74,7 +75,7 @@ class Service:
             raise HttpError(413, "request body too large")
         form = parse_form(content_type, body)
         if "file" not in form:
-            raise HttpError(400, "missing file field")
+            raise HttpError(400, "missing 'file' field in form")
         file_name, content = form["file"]
         return self._index(form, file_name, content) if path == "/songs" else self._query(content)
 
@@ -86,7 +87,7 @@ class Service:
         with self.writing:
             row = self.engine.index(self._files(file_name or "upload", content), F.lit(name)).first()
         if row["song_id"] is None:
-            raise HttpError(409 if row["error"] == "song already exists" else 400, row["error"])
+            raise HttpError(409 if row["error"] == DUPLICATE else 400, row["error"])
         return 201, {k: row[k] for k in ("song_id", "name", "peaks", "hashes")}
 
     def _query(self, content: bytes):

@@ -7,7 +7,7 @@ from test_signal import A_MAJOR, RATE, chord
 
 from sonagraph import cli
 from sonagraph.functions import wav
-from sonagraph.operators.library import DuplicateSong, Library, zip_batch
+from sonagraph.operators.library import DUPLICATE, DuplicateSong, Library, zip_batch
 from sonagraph.operators.match import best_match
 from sonagraph.plans.engine import Engine
 from sonagraph.service import MAX_BODY, Service, song_name
@@ -65,7 +65,7 @@ def test_index_and_query(spark, folder):
     assert rows["short"]["hashes"] == 0 and rows["short"]["song_id"] is not None
     assert rows["broken"]["error"] == wav.NOT_WAV and rows["broken"]["song_id"] is None
     again = {r["name"]: r["error"] for r in engine.index(files).collect()}
-    assert again["a"] == "song already exists"
+    assert again["a"] == DUPLICATE
     clip = wav.encode(chord(A_MAJOR, 3), RATE)
     clips = spark.createDataFrame([("clip", bytearray(clip)), ("bad", bytearray(b"x")), ("still", bytearray(wav.encode(np.zeros(RATE), RATE)))], "path string, content binary")
     got = {r["path"]: r for r in engine.query(clips).collect()}

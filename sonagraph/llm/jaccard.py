@@ -110,10 +110,21 @@ def bucket_classes(docs: DataFrame) -> np.ndarray:
     total = np.zeros((1 << bits) // CHUNK * CHUNK, np.uint16).reshape(-1, CHUNK)
     for row in lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").toLocalIterator():
         total[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
-    total = total.reshape(-1)
-    usual = float(np.median(total))
-    over = np.maximum(total - usual, 0) / (2 * np.sqrt(usual + 1))
-    return np.minimum(63, np.where(over < 4, over, 4 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
+    return _classes(total)
+
+
+def _classes(total: np.ndarray) -> np.ndarray:
+    """The buckets' bytes from their counts (chunks of 16-bit ones), chunk by chunk: a byte depends on the
+    count alone, and the usual count is the median, read off how many buckets have each count."""
+    times = sum((np.bincount(row, minlength=1 << 16) for row in total), np.zeros(1 << 16, np.int64))
+    upto, size = np.cumsum(times), total.size
+    usual = (int(np.searchsorted(upto, (size + 1) // 2)) + int(np.searchsorted(upto, size // 2 + 1))) / 2
+    over = np.maximum(np.arange(1 << 16) - usual, 0) / (2 * np.sqrt(usual + 1))
+    byte = np.minimum(63, np.where(over < 4, over, 4 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
+    out = np.empty(total.shape, np.uint8)
+    for i, row in enumerate(total):
+        out[i] = byte[row]
+    return out.reshape(-1)
 
 
 def needed(n, m):

@@ -78,6 +78,7 @@ def tokens(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(out)
 
 
+@tn.lean
 def _count_buckets(batches, bits: int):
     """Counts of a partition's shingles, as compressed chunks that hold any (counts stop at 65535,
     far beyond what tells a frequent shingle)."""
@@ -167,6 +168,7 @@ def bound(a: bytes, b: bytes, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
+@tn.lean
 def _membership(batches):
     """doc_id, cls, n of every document, and from each the tokens of its tiles (one row a document)."""
     for batch in batches:
@@ -177,6 +179,7 @@ def _membership(batches):
 
 
 def _tiles(classes: np.ndarray):
+    @tn.lean
     def run(batches):
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
@@ -215,6 +218,7 @@ def _runs(batches) -> Iterator[dict[str, np.ndarray]]:
         yield {k: np.concatenate([x[k] for x in rest]) for k in rest[0]}
 
 
+@tn.lean
 def _star(batches):
     """Rows of tiles with two classes or more, with the class that leads their size band there."""
     for part in _runs(batches):
@@ -300,6 +304,7 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
+@tn.lean
 def _sketch(batches):
     """cls, n, bitmap and the sorted set of each document."""
     for batch in batches:
@@ -321,6 +326,7 @@ def _sketch_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["cls", "n", "bits", "items"])
 
 
+@tn.lean
 def _screen(batches):
     for batch in batches:
         c = {k: batch.column(k).to_pylist() for k in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")}
@@ -328,6 +334,7 @@ def _screen(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+@tn.lean
 def _intersect(batches):
     for batch in batches:
         ok = []

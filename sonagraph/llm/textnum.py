@@ -7,6 +7,9 @@ follows the longest single text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BLOCK_BYTES = 1 << 20
+STRETCH_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,6 +39,24 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def lean(run):
+    """A pass over Arrow batches that hands the memory it freed back to the system at its end: Spark keeps a
+    worker for later tasks, and the allocators would keep the pages for as long."""
+
+    @functools.wraps(run)
+    def inner(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return inner
+
+
 class Powers:
     """Powers of the base and of its inverse, grown on demand and kept by the worker."""
 
@@ -74,8 +96,8 @@ class Rolling:
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column (null as empty)."""
     column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -91,6 +113,18 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def _hashes_apart(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that follow each other, a stretch of bytes at a time: the tables of ``Rolling`` are as
+    long as the stretch or the longest span, not the text."""
+    out, at = np.empty(len(start), U), 0
+    while at < len(start):
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, low + STRETCH_BYTES, side="right")))
+        out[at:to] = Rolling(BYTE_VALUES[raw[low : int(end[to - 1])]]).spans(start[at:to] - low, end[at:to] - low)
+        at = to
+    return out
+
+
 def spans_of_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True):
     """Words are runs of bytes for which ``inside`` holds, within a row.  Their hashes, for each row
     the index of its first word (one more entry at the end), and the words' first and end bytes."""
@@ -106,7 +140,7 @@ def spans_of_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, low
     last = word.copy()
     last[:-1] &= ~word[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Rolling(BYTE_VALUES[raw]).spans(start, end), np.searchsorted(start, offsets), start, end
+    return _hashes_apart(raw, start, end), np.searchsorted(start, offsets), start, end
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -350,6 +350,7 @@ class Shard:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@tn.lean
 def _encode(batches, path: str, end_id: int, shard_ids: int):
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -385,6 +386,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     return materialize(coded, "tokens")
 
 
+@tn.lean
 def _digest(batches):
     for batch in batches:
         for part, start, data in zip(batch.column("part"), batch.column("start"), batch.column("data"), strict=True):

@@ -216,6 +216,34 @@ def shares(a, b, n=51):
     return any(tuple(v[i : i + n]) in have for i in range(len(v) - n + 1))
 
 
+def linked(report):
+    """The pairs of class ids that the report links, from its partners."""
+    rows = report.collect()
+    pairs = {(r["class_id"], p) for r in rows for p in r["partners"]}
+    ends = collections.Counter(x for p in pairs for x in p)
+    assert {r["class_id"]: r["n_links"] for r in rows if r["n_links"]} == ends  # one passage a pair here
+    return {tuple(sorted(p)) for p in pairs}
+
+
+def test_passage_links(spark):
+    """Two texts share 60 words, others quote 35 of them each: links as brute force finds them."""
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        shared = prose(60)
+        texts += [prose(40) + shared + prose(40) for _ in range(2)]
+        for i in range(12):
+            at = i % 2 * 25
+            texts.append(prose(30) + shared[at : at + 35] + prose(30))
+    wide = prose(80)
+    texts += [prose(20) + wide + prose(20) for _ in range(8)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if shares(" ".join(texts[i]), " ".join(texts[j]), 50)}
+    assert len(want) == 6 + 28
+    assert linked(passages.passage_report(df)) == want
+
+
 def test_chains_against_quadratic():
     r = random.Random(3)
     for _ in range(50):

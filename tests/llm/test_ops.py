@@ -244,6 +244,58 @@ def test_passage_links(spark):
     assert linked(passages.passage_report(df)) == want
 
 
+def changed_pairs(n_words, rate, n=60):
+    """Texts 2i and 2i + 1 share a passage in which words were replaced at this rate."""
+    r = random.Random(f"{n_words} {rate}")
+    prose = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    texts = []
+    for _ in range(n):
+        shared = prose(n_words)
+        there = [w if r.random() >= rate else f"x{r.randrange(10**6)}" for w in shared]
+        # the ends agree, so that the passage is as long as brute force says
+        there[:2], there[-2:] = shared[:2], shared[-2:]
+        texts += [prose(30) + shared + prose(30), prose(30) + there + prose(30)]
+    return texts
+
+
+def common_passage(a, b, margin=30):
+    """Do the planted stretches hold a passage, by the quadratic longest common subsequence?"""
+    a, b = a[margin:-margin], b[margin:-margin]
+    row = [0] * (len(b) + 1)
+    for w in a:
+        last, row = row, [0]
+        for j, v in enumerate(b):
+            row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
+    return row[-1] >= passages.IDENTITY * len(a)
+
+
+#: (words, share of words changed, least recall)
+RECALL = [(60, 0, 1), (60, 0.05, 0.95), (60, 0.1, 0.9), (60, 0.2, 0.5), (80, 0.1, 0.95), (120, 0.2, 0.7)]
+
+
+def test_passage_recall(spark):
+    """Found pairs against brute force, at identities of 0.75 to 1."""
+    texts = [t for n, rate, _ in RECALL for t in changed_pairs(n, rate)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {tuple(sorted((r["class_id"], p))) for r in passages.passage_report(df).collect() for p in r["partners"]}
+    assert all(i % 2 == 0 and j == i + 1 for i, j in got)
+    for k, (n, rate, least) in enumerate(RECALL):
+        want = [i for i in range(120 * k, 120 * k + 120, 2) if common_passage(texts[i], texts[i + 1])]
+        recall = np.mean([(i, i + 1) in got for i in want])
+        print(f"{n} words, {rate} changed: {len(want)} passages, recall {recall:.2f}")
+        assert recall >= least
+
+
+def test_equal_stretch_beside_a_weak_chain(spark):
+    """50 equal words, 30 others, 10 equal words: the chain of all of them is below the identity."""
+    r = random.Random(9)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    head, tail = prose(50), prose(10)
+    texts = [prose(20) + head + prose(30) + tail + prose(20) for _ in range(2)]
+    out = passages.passage_report(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [(r["n_links"], r["spans"]) for r in out.collect()] == [(1, "20:70")] * 2
+
+
 def test_chains_against_quadratic():
     r = random.Random(3)
     for _ in range(50):

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .url_labels import BAD, GOOD, SPAM
+
 BITS = 16
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, DECAY = 300, 4.0, 1e-4
@@ -31,34 +33,14 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-_BAD = "casino bet bets poker slots pills viagra adult xxx porn spam ads track tracker win winner free cheap farm loan clicks malware".split()
-_BAD_ENDS = "win zone farm pills bets x track deals bonus hub".split()
-_GOOD = "news city library school garden river museum science weather history travel music cooking health open data north book theatre nature".split()
-_GOOD_ENDS = "times guide house land notes works journal park review daily".split()
-_SYLLABLES = "th er an in re on at nd st es en of ed or ti hi as to le ou is ha sh wh ly ble ing tion the".split()
-_ZONES = ("com", "org", "net")
-_HEADS = ("", "www.", "m.", "blog.")
+#: Where the labelled hosts are read, alike for both classes: only the host tells them apart.
+_PAGES = (("", "/"), ("www.", "/about"), ("m.", "/en/"), ("blog.", "/fr/"), ("", "/de/"), ("www.", "/es/"))
 
 
 def default_labels() -> list[tuple[str, int]]:
-    """The small labelled table, from the word lists by rule: bad names (1) are a bad word, a hyphen
-    and an ending; good ones (0) are two good words, hyphened or not, or strings of syllables."""
-    out = []
-
-    def add(i: int, name: str, label: int) -> None:
-        out.append((f"http://{_HEADS[i % 4]}{name}.example.{_ZONES[i % 3]}/{('en', 'fr', 'de', 'es')[i % 4]}/{i * 37 % 1000}", label))
-
-    for i, a in enumerate(_BAD):
-        for j, b in enumerate(_BAD_ENDS):
-            if a != b:
-                add(i * 5 + j, f"{a}-{b}", 1)
-    for i, a in enumerate(_GOOD):
-        for j, b in enumerate(_GOOD_ENDS):
-            add(i * 5 + j, f"{a}-{b}" if (i + j) % 3 else a + b, 0)
-    for i, a in enumerate(_SYLLABLES):
-        for j, b in enumerate(_SYLLABLES):
-            add(i * 3 + j, a + b + _SYLLABLES[(i * 7 + j * 3) % len(_SYLLABLES)] * (j % 2), 0)
-    return out
+    """The labelled table: the hosts of ``url_labels``, with some common pages of each; bad is 1."""
+    hosts = [(h, 1) for h in BAD + SPAM] + [(h, 0) for h in GOOD]
+    return [(f"https://{head}{host}{path}", label) for host, label in hosts for head, path in _PAGES]
 
 
 def host_of(url: Column) -> Column:

@@ -403,6 +403,29 @@ def test_url_model_holds_out():
     assert np.mean(right) > 0.95
 
 
+def test_url_labels_are_not_the_pages(spark):
+    """Hosts that no label names: known sites pass, and hosts held out whole are judged better than by chance."""
+    table = [urls.split_url(u)[0] for u, _ in urls.default_labels()]
+    names = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "example.")
+    assert not [h for h in table if any(n in h for n in names)]
+    known = ["github.com", "stackoverflow.com", "www.bbc.co.uk", "pubmed.ncbi.nlm.nih.gov", "mercedes-benz.com"]
+    assert not set(known) & set(table)
+    rows = [(i, f"https://{h}/en/") for i, h in enumerate(known)]
+    report = urls.url_report(spark.createDataFrame(rows, "page_id long, url string"))
+    assert [r["verdict"] for r in report.collect()] == ["allow"] * len(known)
+    hosts = [(h, y) for y, hosts in ((1, urls.BAD), (0, urls.GOOD)) for h in hosts]
+    right = []
+    for fold in range(5):
+        held = {h for i, (h, _) in enumerate(hosts) if i % 5 == fold}
+        own = {head + h for h in held for head, _ in urls._PAGES}
+        model = urls.train([r for r in urls.default_labels() if urls.split_url(r[0])[0] not in own])
+        tested = [(h, y) for h, y in hosts if h in held]
+        right += [(y, (s >= 0.5) == bool(y)) for s, (_, y) in zip(urls.score([(h, "/") for h, _ in tested], model), tested, strict=True)]
+    each = [np.mean([ok for y, ok in right if y == label]) for label in (0, 1)]
+    print(f"held-out hosts: {len(right)}, accuracy {np.mean([ok for _, ok in right]):.2f}, good {each[0]:.2f}, bad {each[1]:.2f}")
+    assert min(each) > 0.6
+
+
 def test_lines(docs, rows):
     first, placed = {}, []
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))

@@ -2,7 +2,7 @@
 
 The lines of a text that hold a word are numbered; each three neighbours make a window, known by two
 64-bit hashes.  Windows are counted over the whole corpus (pre-aggregated on the map side) with their
-first place, the smallest (doc_id, line).  Every other place of a repeated window is covered, covered
+first place, the smallest (doc_id, text hash, line).  Every other place of a repeated window is covered, covered
 lines are merged per document, and removed.
 
 Defined cases: a null text has no lines and comes back null; texts of fewer than three such lines
@@ -43,7 +43,7 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     hashes = F.transform(_worded(F.split("text", "\n")), lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(s["x"], F.lit("second")).alias("b")))
     placed = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", F.explode(let(hashes, _windows)).alias("w")).select("key", "doc_id", "w.a", "w.b", "w.at")
     placed = materialize(placed, "line-windows")
-    here = F.struct("doc_id", F.col("at")[0].alias("line"))
+    here = F.struct("doc_id", "key", F.col("at")[0].alias("line"))
     repeated = placed.groupBy("a", "b").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     later = placed.join(repeated, ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
     covered = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_covered")).withColumnRenamed("key", "_key")

@@ -449,6 +449,15 @@ def test_lines(docs, rows):
     assert lines.line_report(empty(docs)).count() == 0
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    """Different texts without an id, or with the same one, keep a shared header once."""
+    head = "one line\nand a second\nthen a third\n"
+    df = spark.createDataFrame([(i, f"{head}{i} {j}") for i in (None, 7) for j in range(3)], "doc_id long, text string")
+    removed = [(r["doc_id"], r["n_removed"]) for r in lines.line_report(df).collect()]
+    assert sorted(n for i, n in removed if i is None) == [0, 3, 3]
+    assert [n for i, n in removed if i == 7] == [3, 3, 3]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

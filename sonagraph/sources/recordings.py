@@ -7,7 +7,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..config import EngineConfig
@@ -19,9 +18,10 @@ ANALYSES = "path string, sample_rate int, n_samples long, n_frames int, peaks ar
 _PEAK = pa.struct([("time_frame", pa.int32()), ("freq_bin", pa.int32()), ("magnitude_db", pa.float64())])
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> DataFrame:
-    """WAV files under ``path`` (a file, a folder or a glob) up to ``max_bytes`` each."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """WAV files under ``path`` (a file, a folder or a glob), of any size that ``binaryFile`` reads; it
+    fails on larger ones."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
 def _decoded(content: bytes | None):

@@ -99,6 +99,12 @@ def test_streaming(spark, folder, tmp_path):
     assert engine.stats().first()["songs"] == 3
 
 
+def test_large_files_are_read(spark, tmp_path):
+    with open(tmp_path / "long.wav", "wb") as out:
+        out.truncate((50 << 20) + 1)
+    assert recordings.read_files(spark, str(tmp_path)).select("path", "length").first()["length"] == (50 << 20) + 1
+
+
 def test_cli(spark, folder, tmp_path, capsys):
     db = ["--db", str(tmp_path / "db")]
     assert cli.main([], spark) == 1 and cli.main(["index"], spark) == 1

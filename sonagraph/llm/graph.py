@@ -13,30 +13,30 @@ def _signature(edges: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, *done: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (u, v, longs): the smallest node
     reachable.  Each round rewires neighbours to the smallest one seen, so the rounds follow the
     logarithm of the longest path; groupings are pre-aggregated, joins are by node.
 
-    Raises if ``max_rounds`` pass without a fixed point."""
+    Raises if ``max_rounds`` pass without a fixed point.  The result is a scratch table; ``done`` are
+    those that nothing reads after the first round."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", *done)
     last = _signature(edges)
-    if not last[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if last[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "edges")
+        edges = materialize(small.where("u <> v").distinct(), "edges", edges)
         now = _signature(edges)
         if now == last:
             break
         last = now
     else:
-        raise RuntimeError("components did not settle")
+        if last[0]:
+            raise RuntimeError("components did not settle")
     # at the fixed point every edge leads to the root
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return materialize(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", edges)

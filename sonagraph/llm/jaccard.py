@@ -14,8 +14,9 @@ are one node from the start (a class), so exact copies never meet each other.
    pass the hashed bitmaps (below) and an exact intersection, and the verified links are merged to
    components: a group of thousands of near copies costs one link a member, not one a pair.
    Three more rounds pair neighbours in wide tiles, for groups that no first class holds together.
-4. *The rest.*  Tiles are read again with the components known; only classes of different components
-   are paired, so no link that could join two components is lost.
+4. *The rest.*  Tiles are read again with the components known, and of those that still hold several
+   all classes of different components are paired, so no link that could join two is lost.  In wide
+   tiles these rows carry their bitmaps: only pairs that the bound lets through leave the tile.
 
 *Bitmaps.*  A set's tokens are hashed into a bitmap of 2 to 4 bits a token (by size band).  Each bit
 set in A and not in B stands for at least one token of A that B lacks, so n_A minus their number
@@ -40,16 +41,17 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .graph import components
-from .shared import docs_of, materialize
+from .shared import discard, docs_of, materialize
 
 U = np.uint64
 K = 5
-#: Buckets of the shingle counts: about one for 32 bytes of text, within these powers of two.
-LEAST_BITS, MOST_BITS = 18, 26
-CHUNK = 1 << 16
+#: Buckets of the shingle counts: about one for so many bytes of text, within these powers of two.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 64, 18, 26
+CHUNK, FULL = 1 << 16, 1 << 15
 #: Rounds of paired neighbours in tiles of several classes, before the rest is paired in full.
 PROBES, WIDE = 3, 4
 HASH_BITS = 57
+_OPEN = ["token", "cls", "n", "pos", "comp"]
 
 
 def shingle_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -78,56 +80,72 @@ def tokens(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(out)
 
 
+def _chunks(total: np.ndarray) -> pa.RecordBatch:
+    """The chunks of a table of 16-bit counts that hold any, compressed."""
+    chunks = total.reshape(-1, CHUNK)
+    rows = np.flatnonzero(chunks.any(axis=1))
+    data = [zlib.compress(chunks[i].astype(np.uint32).tobytes(), 1) for i in rows]
+    return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(data, pa.binary())], ["chunk", "counts"])
+
+
 @tn.lean
 def _count_buckets(batches, bits: int):
-    """Counts of a partition's shingles, as compressed chunks that hold any (counts stop at 65535,
-    far beyond what tells a frequent shingle)."""
+    """Counts of a partition's shingles.  The table holds 16 bits a bucket: before one is full, its
+    counts are handed on and it starts again, so none is lost."""
     total = np.zeros(1 << bits, np.uint16)
     for batch in batches:
         for _, hashes in shingle_rows(batch):
             at, n = np.unique(_bucket(hashes, bits), return_counts=True)
-            total[at] = np.minimum(total[at].astype(np.int64) + n, 65535)
-    chunks = total.reshape(-1, CHUNK)
-    rows = np.flatnonzero(chunks.any(axis=1))
-    data = [zlib.compress(chunks[i].tobytes(), 1) for i in rows]
-    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(data, pa.binary())], ["chunk", "counts"])
+            for lo in range(0, len(at), FULL):
+                own, more = at[lo : lo + FULL], np.minimum(n[lo : lo + FULL], FULL)
+                if (total[own] > 65535 - more).any():
+                    yield _chunks(total)
+                    total[:] = 0
+                total[own] += more.astype(np.uint16)
+    yield _chunks(total)
 
 
-def _add_chunks(pdf):
-    total = np.zeros(CHUNK, np.int64)
+def _sum_chunks(pdf) -> np.ndarray:
+    total = np.zeros(CHUNK, np.uint64)
     for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint16)
-    return pdf.iloc[:1].assign(counts=[zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)])
+        total += np.frombuffer(zlib.decompress(x), np.uint32)
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+
+
+def _add_chunks(pdf):
+    """The sum of some tables' chunk, and its median."""
+    total = _sum_chunks(pdf)
+    return pdf.iloc[:1].assign(counts=[zlib.compress(total.tobytes(), 1)], usual=[float(np.median(total))])
+
+
+def _class_bytes(batches, usual: float):
+    for pdf in batches:
+        yield pdf[["chunk"]].assign(classes=[zlib.compress(_classes(_sum_chunks(pdf.iloc[i : i + 1]), usual).tobytes(), 1) for i in range(len(pdf))])
 
 
 def bucket_classes(docs: DataFrame) -> np.ndarray:
     """A byte for each of a bounded number of buckets (64 MB at most): how far the bucket's count of
-    shingles, over all documents, lies above the usual one, in steps of its spread.  Partial tables
-    are added in two steps, so no task adds up more than a lane of them."""
+    shingles, over all documents, lies above the usual one, in steps of its spread.  The usual count
+    is the median of the chunks' medians.  Partial tables are added in two steps, so no task adds up
+    more than a lane of them; the driver gets bytes only."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 32).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
     parts = docs.select("text").mapInArrow(partial(_count_buckets, bits=bits), "chunk int, counts binary")
-    lanes = parts.withColumn("lane", F.spark_partition_id() % 64).groupBy("chunk", "lane").applyInPandas(_add_chunks, "chunk int, counts binary, lane int")
-    total = np.zeros((1 << bits) // CHUNK * CHUNK, np.uint16).reshape(-1, CHUNK)
-    for row in lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").toLocalIterator():
-        total[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
-    return _classes(total)
-
-
-def _classes(total: np.ndarray) -> np.ndarray:
-    """The buckets' bytes from their counts (chunks of 16-bit ones), chunk by chunk: a byte depends on the
-    count alone, and the usual count is the median, read off how many buckets have each count."""
-    times = sum((np.bincount(row, minlength=1 << 16) for row in total), np.zeros(1 << 16, np.int64))
-    upto, size = np.cumsum(times), total.size
-    usual = (int(np.searchsorted(upto, (size + 1) // 2)) + int(np.searchsorted(upto, size // 2 + 1))) / 2
-    over = np.maximum(np.arange(1 << 16) - usual, 0) / (2 * np.sqrt(usual + 1))
-    byte = np.minimum(63, np.where(over < 4, over, 4 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
-    out = np.empty(total.shape, np.uint8)
-    for i, row in enumerate(total):
-        out[i] = byte[row]
+    lanes = parts.withColumn("lane", F.spark_partition_id() % 64).groupBy("chunk", "lane").applyInPandas(_add_chunks, "chunk int, counts binary, lane int, usual double")
+    summed = materialize(lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary, usual double"), "buckets")
+    usual = summed.agg(F.percentile("usual", F.lit(0.5))).first()[0] or 0.0
+    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint8)
+    for row in summed.mapInPandas(partial(_class_bytes, usual=usual), "chunk int, classes binary").toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["classes"]), np.uint8)
+    discard(summed)
     return out.reshape(-1)
 
 
+def _classes(counts: np.ndarray, usual: float) -> np.ndarray:
+    over = np.maximum(counts - usual, 0) / (2 * np.sqrt(usual + 1))
+    return np.minimum(63, np.where(over < 4, over, 4 + 4 * np.log2(np.maximum(over, 4) / 4))).astype(np.uint8)
+
+
 def needed(n, m):
     """Smallest overlap that links sets of n and m: 100 I >= 75 (n + m - I)."""
     return -(-3 * (n + m) // 7)
@@ -253,6 +271,18 @@ def _star(batches):
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array(n), pa.array(pos), pa.array(cls[lead]), pa.array(wide)], ["token", "cls", "n", "pos", "lead", "wide"])
 
 
+def _beside(token, cls, comp, n, pos, reach: int) -> list[np.ndarray]:
+    """Pairs of classes of different components at most ``reach`` rows apart within a tile, that size
+    and place don't rule out."""
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, reach + 1):
+        a, b = np.arange(max(0, len(token) - d)), np.arange(max(0, len(token) - d)) + d
+        n_a, n_b = n[a].astype(np.int64), n[b].astype(np.int64)
+        ok = (token[a] == token[b]) & (comp[a] != comp[b]) & (np.minimum(n_a - pos[a], n_b - pos[b]) >= needed(n_a, n_b))
+        found.append(np.stack([np.minimum(cls[a[ok]], cls[b[ok]]), np.maximum(cls[a[ok]], cls[b[ok]])]))
+    return found
+
+
 def _probe(batches, salt: int):
     """Pairs of neighbours in a tile, its classes in the order of a hash: a group's tiles hold much
     the same classes in the same order, so a class meets a few partners, however large the group."""
@@ -260,38 +290,78 @@ def _probe(batches, salt: int):
         early = part["pos"] * 7 <= part["n"]  # a linked pair's first common token lies here
         part = {k: v[early] for k, v in part.items()}
         order = np.lexsort((tn.mix(part["cls"].view(U) + U(salt)), part["token"]))
-        token, cls, comp, n, pos = (part[k][order] for k in ("token", "cls", "comp", "n", "pos"))
-        found = [np.zeros((2, 0), np.int64)]
-        for d in (1, 2):
-            a, b = np.arange(max(0, len(token) - d)), np.arange(max(0, len(token) - d)) + d
-            n_a, n_b = n[a].astype(np.int64), n[b].astype(np.int64)
-            ok = (token[a] == token[b]) & (comp[a] != comp[b]) & (np.minimum(n_a - pos[a], n_b - pos[b]) >= needed(n_a, n_b))
-            found.append(np.stack([np.minimum(cls[a[ok]], cls[b[ok]]), np.maximum(cls[a[ok]], cls[b[ok]])]))
-        yield _pairs(found)
+        yield _pairs(_beside(*(part[k][order] for k in ("token", "cls", "comp", "n", "pos")), reach=2))
 
 
+def _narrow(batches):
+    """All pairs of different components in tiles of less than ``WIDE`` classes."""
+    for part in _runs(batches):
+        yield _pairs(_beside(*(part[k] for k in ("token", "cls", "comp", "n", "pos")), reach=WIDE - 1))
+
+
+def _open(batches):
+    """The rows of the wide tiles that hold several components."""
+    for part in _runs(batches):
+        token, comp = part["token"], part["comp"]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(start, len(token)))
+        keep = np.repeat(np.minimum.reduceat(comp, start) < np.maximum.reduceat(comp, start), size)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(part[k][keep]) for k in _OPEN], _OPEN)
+
+
+class Bitmaps:
+    """The bitmaps of a tile's rows, which come by size: those of one length follow each other."""
+
+    def __init__(self, rows: list[bytes]):
+        self.length = np.array([len(x) for x in rows])
+        self.blocks: dict[int, tuple[int, np.ndarray]] = {}
+        for size in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == size)
+            self.blocks[size] = int(at[0]), np.frombuffer(b"".join(rows[i] for i in at), np.uint64).reshape(len(at), size // 8)
+
+    def bounds(self, i: int, n: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of row i with the later rows j."""
+        out = np.zeros(len(j), np.int64)
+        size = int(self.length[i])
+        first, block = self.blocks[size]
+        own = block[i - first]
+        for other in np.unique(self.length[j]).tolist():
+            at = np.flatnonzero(self.length[j] == other)
+            first, block = self.blocks[other]
+            there = block[j[at] - first]
+            while there.shape[1] > len(own):
+                there = there[:, : there.shape[1] // 2] | there[:, there.shape[1] // 2 :]
+            only_own = np.bitwise_count(own & ~there).sum(axis=1, dtype=np.int64)
+            only_other = np.bitwise_count(there & ~own).sum(axis=1, dtype=np.int64)
+            out[at] = np.minimum(n[i] - only_own, n[j[at]] - only_other)
+        return out
+
+
+@tn.lean
 def _across(batches):
-    """Pairs of classes of different components within a tile, that size and place don't rule out."""
+    """Pairs of classes of different components within a tile, that size, place and bitmaps don't
+    rule out."""
     for part in _runs(batches):
-        token, cls, comp, n, pos = (part[k] for k in ("token", "cls", "comp", "n", "pos"))
-        head = np.ones(len(token), bool)
-        head[1:] = token[1:] != token[:-1]
-        edges = np.append(np.flatnonzero(head), len(token))
+        token, cls, comp, pos = (part[k] for k in ("token", "cls", "comp", "pos"))
+        n = part["n"].astype(np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
         found: list[np.ndarray] = []
         held = 0
         for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if (comp[a:e] == comp[a]).all():
-                continue
-            for i in range(a, e - 1):
-                far = i + 1 + int(np.searchsorted(n[i + 1 : e], n[i] * 4 // 3, side="right"))
+            bits, size = Bitmaps(part["bits"][a:e].tolist()), n[a:e]
+            for i in range(e - a - 1):
+                far = i + 1 + int(np.searchsorted(size[i + 1 :], size[i] * 4 // 3, side="right"))
                 j = np.arange(i + 1, far)
-                n_i, n_j = int(n[i]), n[j].astype(np.int64)
-                ok = (comp[j] != comp[i]) & (np.minimum(n_i - int(pos[i]), n_j - pos[j]) >= needed(n_i, n_j))
-                j = j[ok]
-                if len(j):
-                    x, y = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-                    found.append(np.stack([x, y]))
-                    held += len(j)
+                need = needed(size[i], size[j])
+                ok = (comp[a + j] != comp[a + i]) & (np.minimum(size[i] - pos[a + i], size[j] - pos[a + j]) >= need)
+                j, need = j[ok], need[ok]
+                for lo in range(0, len(j), 4096):
+                    few = j[lo : lo + 4096]
+                    few = few[bits.bounds(i, size, few) >= need[lo : lo + 4096]]
+                    if len(few):
+                        found.append(np.stack([np.minimum(cls[a + i], cls[a + few]), np.maximum(cls[a + i], cls[a + few])]))
+                        held += len(few)
                 if held > 100_000:
                     yield _pairs(found)
                     found, held = [], 0
@@ -349,17 +419,20 @@ def _intersect(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first by bitmap bound, then by exact intersection."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
+    """Pairs (a, b) with columns of both sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
+    return pairs
 
-    def with_column(df: DataFrame, *names: str) -> DataFrame:
-        for side in ("a", "b"):
-            df = df.join(sets.select(F.col("cls").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
-        return df
 
-    near = with_column(pairs, "n", "bits").mapInArrow(_screen, "a long, b long")
-    near = materialize(near, "screened")
-    return with_column(near, "items").mapInArrow(_intersect, "a long, b long")
+def links_of(pairs: DataFrame, sets: DataFrame, label: str, screened: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that link: by bitmap bound, but for those that are ``screened`` already, then by exact
+    intersection."""
+    pairs = materialize(pairs, f"{label}-pairs")
+    near = _with_sets(pairs, sets, "n", "bits").mapInArrow(_screen, "a long, b long")
+    near = materialize(near if screened is None else near.unionByName(screened).distinct(), f"{label}-screened", pairs)
+    return materialize(_with_sets(near, sets, "items").mapInArrow(_intersect, "a long, b long"), f"{label}-links", near)
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -368,10 +441,10 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = bucket_classes(docs)
     members = materialize(docs.mapInArrow(_membership, "doc_id long, cls long, n long"), "members")
     tiles = docs.mapInArrow(_tiles(classes), "token long, cls long, n int, pos int")
+    del classes
     sort = ("token", "n", "cls")
     tiles = tiles.repartition("token").sortWithinPartitions(*sort)
     shared_tiles = materialize(tiles.mapInArrow(_star, "token long, cls long, n int, pos int, lead long, wide int"), "tiles")
-    stars = materialize(shared_tiles.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "star-candidates")
     # the sets of the classes that share a tile, each from its smallest document
     busy = shared_tiles.select("cls").distinct()
     chosen = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d")).join(busy, "cls", "left_semi")
@@ -379,30 +452,47 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cls")
     sets = materialize(one.mapInArrow(_sketch, "cls long, n long, bits binary, items binary"), "sets")
     if sets.count() > sets.select("cls").distinct().count():  # rows that repeat, doc_id included
-        sets = materialize(sets.dropDuplicates(["cls"]), "sets")
-    def joined(edges: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-        links = materialize(verified(materialize(pairs, f"{label}-pairs"), sets), f"{label}-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        merged = components(edges.unionByName(links))
-        return materialize(merged.select(F.col("node").alias("u"), F.col("component").alias("v")), label)
+        sets = materialize(sets.dropDuplicates(["cls"]), "sets", sets)
+
+    def joined(links: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """(node, component) of all links so far: of the new ones and of the components ``edges``."""
+        new = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if edges is None:
+            return components(new, links)
+        return components(edges.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new), links, edges)
 
     def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        rows = rows.select("token", "cls", "n", "pos").join(edges.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
-        return rows.withColumn("comp", F.coalesce("root", "cls")).drop("root").repartition("token").sortWithinPartitions(*sort)
+        rows = rows.select("token", "cls", "n", "pos").join(edges.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        return rows.withColumn("comp", F.coalesce("component", "cls")).drop("component").repartition("token").sortWithinPartitions(*sort)
 
-    none = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).where("false")
-    edges = joined(none, stars, "stars")
+    stars = shared_tiles.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    edges = joined(links_of(stars, sets, "stars"), None)
     for salt in range(PROBES):
-        edges = joined(edges, labelled(shared_tiles.where(f"wide >= {WIDE}"), edges).mapInArrow(partial(_probe, salt=salt), "a long, b long").distinct(), "probes")
-    edges = joined(edges, labelled(shared_tiles, edges).mapInArrow(_across, "a long, b long").distinct(), "across")
-    return members, edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+        probes = labelled(shared_tiles.where(f"wide >= {WIDE}"), edges).mapInArrow(partial(_probe, salt=salt), "a long, b long").distinct()
+        links = links_of(probes, sets, "probes")
+        if not links.limit(1).count():
+            discard(links)
+            break
+        edges = joined(links, edges)
+    mixed = labelled(shared_tiles.where(f"wide >= {WIDE}"), edges).mapInArrow(_open, "token long, cls long, n int, pos int, comp long")
+    mixed = materialize(mixed, "open")
+    wide = mixed.join(sets.select("cls", "bits"), "cls").repartition("token").sortWithinPartitions(*sort).mapInArrow(_across, "a long, b long")
+    narrow = labelled(shared_tiles.where(f"wide < {WIDE}"), edges).mapInArrow(_narrow, "a long, b long").distinct()
+    edges = joined(links_of(narrow, sets, "across", wide), edges)
+    discard(mixed, shared_tiles, sets)
+    return members, edges.select(F.col("node").alias("cls"), F.col("component").alias("root"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     members, roots = linked_classes(docs)
-    joined = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    # ids meet by class first, so a group's copies are one row when its classes meet
+    rooted = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    groups_ = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(rooted.select("cls", "root").join(groups_, "root").select("cls", "component_id"), "named")
+    rows = members.join(named, "cls", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,22 +12,52 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Spark drops a query's shuffle files when the query ends, not when the driver collects its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.  Where that is unset, one below the
+    warehouse, which the driver and all executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sonagraph-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def materialize(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor can
-    reread the part of a lost one."""
+    reread the part of a lost one.  The shuffles behind it go with the write, and so do the scratch
+    tables ``done``, which nothing reads any more."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sonagraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _set(spark, DROP_SHUFFLES, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of ``materialize``."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def docs_of(df: DataFrame, *columns: str) -> DataFrame:

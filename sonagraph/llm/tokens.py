@@ -39,11 +39,13 @@ from . import textnum as tn
 from .shared import materialize
 
 END_ID = 2
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 MIN_COUNT = 32
-RULES_PER_ROUND = 2048
-MAX_ROUNDS = 4
-CACHE_ENTRIES = 800_000
+RULES_PER_ROUND = 8192
+#: Bytes that a worker's caches may hold before they start afresh, and what a cached piece costs beside its ids.
+CACHE_BYTES, PIECE_BYTES = 96 << 20, 200
+#: Bytes of text that are encoded at once, and after which a long text may be cut.
+ENCODE_BYTES = 1 << 19
 HEAD = struct.Struct("<4s6I")
 
 
@@ -95,9 +97,15 @@ class Encoder:
         # pieces of the splitter, then stretches of text: numbers in two flat stores of ids
         self.pieces: dict[str, int] = {"\0": 0}
         self.piece_ids, self.piece_starts = array("i"), array("q", [0, 0])
-        self.number: dict[int, int] = {}
+        # hashes of the stretches in ascending order, and the number of each
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.starts, self.checks = array("i"), array("q", [0]), array("Q")
 
+    def held(self) -> int:
+        """About the bytes of the caches."""
+        pieces = PIECE_BYTES * len(self.pieces) + 4 * len(self.piece_ids) + 8 * len(self.piece_starts)
+        return pieces + 12 * len(self.hashes) + 4 * len(self.ids) + 16 * len(self.starts)
+
     def _add_pieces(self, fresh: list[str], mapped: list[str]) -> None:
         """``mapped``: the pieces in the byte alphabet, which the model reads."""
         tokenize, ids, starts = self.tokenizer.model.tokenize, self.piece_ids, self.piece_starts
@@ -135,7 +143,7 @@ class Encoder:
         n, sizes = len(raw), np.diff(offsets)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
-        if len(self.starts) > CACHE_ENTRIES:
+        if self.held() > CACHE_BYTES:
             self.reset()
         cut = np.zeros(n, bool)
         cut[:-1] = (raw[:-1] == 32) & ~_UNSAFE[raw[1:]]
@@ -152,8 +160,10 @@ class Encoder:
         rolling = tn.Rolling(tn.BYTE_VALUES[raw])
         kinds, first, which = np.unique(rolling.spans(begin, end), return_index=True, return_inverse=True)
         check = tn.mix(_weigh(raw, begin[first], end[first]))
-        get = self.number.get
-        number = np.array([get(x, -1) for x in kinds.tolist()], np.int64)
+        number = np.full(len(kinds), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+            number = np.where(self.hashes[at] == kinds, self.numbers[at], -1).astype(np.int64)
         known = number >= 0
         if known.any():
             stale = np.frombuffer(self.checks, np.uint64)[number[known]] != check[known]
@@ -166,7 +176,9 @@ class Encoder:
             at = len(self.starts) - 1
             self._store([data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             number[new] = np.arange(at, at + len(new))
-            self.number.update(zip(kinds[new].tolist(), range(at, at + len(new)), strict=True))
+            place = np.searchsorted(self.hashes, kinds[new])
+            self.hashes = np.insert(self.hashes, place, kinds[new])
+            self.numbers = np.insert(self.numbers, place, number[new].astype(np.int32))
             self.checks.frombytes(check[new].tobytes())
         starts = np.frombuffer(self.starts, np.int64)
         ids, size = _gather(np.frombuffer(self.ids, np.int32), starts, number[which])
@@ -174,22 +186,42 @@ class Encoder:
         return ids, np.diff(total)
 
     def texts(self, raw: np.ndarray, offsets: np.ndarray):
-        """Ids of each text in turn."""
-        data = None
-        for lo, hi in tn.blocks(offsets):
+        """Ids of each text in turn.  A text is encoded a bounded stretch at a time, where it has a place
+        to cut."""
+        for lo, hi in tn.blocks(offsets, ENCODE_BYTES):
             part = offsets[lo : hi + 1]
             block = raw[part[0] : part[-1]]
             data = block.tobytes()
             if self.apart and not any(x in data for x in self.added):
+                if hi == lo + 1:
+                    cuts = _cuts(block)
+                    yield np.concatenate([self.encode(block[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [np.zeros(0, np.int32)])
+                    continue
                 ids, sizes = self.encode(block, part - part[0])
                 ends = np.cumsum(sizes)
                 for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                    yield ids[a:b]
+                    yield ids[a:b].copy()  # not a view: it would hold the block's ids
             else:
                 for a, b in zip((part[:-1] - part[0]).tolist(), (part[1:] - part[0]).tolist(), strict=True):
                     yield np.array(self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids, np.int32)
 
 
+def _cuts(raw: np.ndarray) -> list[int]:
+    """Ends of the stretches of a text: after every ``ENCODE_BYTES`` the next space before no space."""
+    out = [0]
+    while len(raw) - out[-1] > ENCODE_BYTES:
+        at, found = out[-1] + ENCODE_BYTES, -1
+        while found < 0 and at < len(raw) - 1:
+            end = min(at + 4096, len(raw) - 1)
+            hit = np.flatnonzero((raw[at:end] == 32) & ~_UNSAFE[raw[at + 1 : end + 1]])
+            found = at + int(hit[0]) if len(hit) else -1
+            at = end
+        if found < 0:
+            break
+        out.append(found)
+    return [*out, len(raw)] if len(raw) else [0]
+
+
 class _Odd(str):
     """A piece of the library's splitter: in the byte alphabet already, unlike the plain ones."""
 
@@ -225,9 +257,9 @@ def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MI
     seq, shut, place = ids.astype(np.uint32), closed.copy(), np.arange(len(ids))
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(MAX_ROUNDS):
+    while len(seq) > 1:
         room = min(RULES_PER_ROUND, (1 << 16) - base - n_rules)
-        if room <= 0 or len(seq) < 2:
+        if room <= 0:
             break
         slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
         count = np.bincount(slot[~shut[:-1]], minlength=1 << 20)

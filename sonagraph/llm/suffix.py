@@ -19,7 +19,8 @@ hashes, compared within equal anchors only (so 128 bits decide).
 
 Defined cases: null is the empty text; texts shorter than ``width`` lose nothing; repeated rows are
 occurrences of their own, and lose all that is long enough; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored.  Texts of any length are read in stretches of a megabyte; beside the text
+itself a task holds its kept bytes and a few bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -65,33 +66,45 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
     return own, start - base, end - base, grams[anchor[start]], stretch
 
 
-def _runs(batches, width: int):
+def _runs(batches, width: int, limit: int = tn.BLOCK_BYTES):
+    """Runs of each text.  A text beyond ``limit`` bytes is read a stretch of window starts at a time;
+    a run that a stretch cuts is two, which step 3 compares window by window where need be."""
     for batch in batches:
         raw, offsets = tn.utf8(batch.column("text"))
         keys = batch.column("key").to_numpy(zero_copy_only=False)
-        for lo, hi in tn.blocks(offsets):
-            part = offsets[lo : hi + 1]
-            row, start, end, anchor, stretch = runs_of(raw[part[0] : part[-1]], part - part[0], width)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row + lo]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(tn.signed(anchor)), pa.array(tn.signed(stretch))], ["key", "start", "last", "anchor", "stretch"])
-
-
-def _unrolled(batches, width: int):
-    """(anchor, window, key, start) of all window starts of the open runs of each text."""
+        for lo, hi in tn.blocks(offsets, limit):
+            a, b = int(offsets[lo]), int(offsets[hi])
+            for at in range(a, b, limit) if hi == lo + 1 else [a]:
+                end = min(b, at + limit + width - 1) if hi == lo + 1 else b
+                inner = np.array([at, end]) if hi == lo + 1 else offsets[lo : hi + 1]
+                row, start, last, anchor, stretch = runs_of(raw[at:end], inner - at, width)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row + lo]), pa.array((start + at - a if hi == lo + 1 else start).astype(np.int32)), pa.array((last + at - a if hi == lo + 1 else last).astype(np.int32)), pa.array(tn.signed(anchor)), pa.array(tn.signed(stretch))], ["key", "start", "last", "anchor", "stretch"])
+
+
+def _unrolled(batches, width: int, limit: int = tn.BLOCK_BYTES):
+    """(anchor, window, key, start) of all window starts of the open runs of each text, some runs that
+    lie close together at a time."""
     for batch in batches:
         raw, offsets = tn.utf8(batch.column("text"))
         keys = batch.column("key").to_numpy(zero_copy_only=False)
         runs = batch.column("open")
         for i in range(batch.num_rows):
-            rolling = tn.Rolling(tn.BYTE_VALUES[raw[offsets[i] : offsets[i + 1]]])
             own = runs[i].values
             start, last, anchor = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "last", "anchor"))
-            for a in range(0, len(start), 2000):
-                s, e, h = start[a : a + 2000], last[a : a + 2000], anchor[a : a + 2000]
+            order = np.argsort(start, kind="stable")
+            start, last, anchor = start[order], last[order], anchor[order]
+            a = 0
+            while a < len(start):
+                z = min(a + 2000, max(a + 1, int(np.searchsorted(start, start[a] + limit))))
+                s, e, h = start[a:z], last[a:z], anchor[a:z]
+                base = int(s[0])
+                rolling = tn.Rolling(tn.BYTE_VALUES[raw[offsets[i] + base : min(offsets[i + 1], offsets[i] + int(e.max()) + width)]])
                 size = e - s + 1
                 at = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                window = rolling.spans(at, at + width)
+                window = rolling.spans(at - base, at - base + width)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, size)), pa.array(tn.signed(window)), pa.array(np.full(len(at), keys[i])), pa.array(at.astype(np.int32))], ["anchor", "window", "key", "start"])
+                a = z
 
 
 def covered_spans(start: np.ndarray, last: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +130,7 @@ def _cut(batches, width: int):
                 step = np.zeros(n + 1, np.int8)
                 step[a] += 1
                 step[b] -= 1
-                text = text[np.cumsum(step[:-1]) == 0]
+                text = text[np.cumsum(step[:-1], dtype=np.int8) == 0]
                 removed, n_spans = n - len(text), len(a)
             rows.append((n, removed, n_spans, text.tobytes()))
         columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
@@ -130,20 +143,21 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     runs = keyed.select("key", "text").mapInArrow(partial(_runs, width=width), "key long, start int, last int, anchor long, stretch long")
     runs = materialize(runs, "runs")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    alive = materialize(runs.join(again, "anchor", "left_semi"), "alive")
+    alive = materialize(runs.join(again, "anchor", "left_semi"), "alive", runs)
     kinds = alive.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("first"))
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = kinds.join(mixed, "anchor").where("copies > 1 OR kinds > 1")
     ranked = alive.join(kinds, ["anchor", "stretch"])
     is_open = (F.col("kinds") > 1) & ((F.col("copies") == 1) | F.struct("key", "start").eqNullSafe(F.col("first")))
-    ranked = materialize(ranked.select("key", "start", "last", "anchor", (F.col("copies") > 1).alias("settled"), is_open.alias("open")), "ranked")
+    ranked = materialize(ranked.select("key", "start", "last", "anchor", (F.col("copies") > 1).alias("settled"), is_open.alias("open")), "ranked", alive)
     todo = ranked.where("open").groupBy("key").agg(F.collect_set(F.struct("start", "last", "anchor")).alias("open")).withColumnRenamed("key", "_key")
     texts = keyed.select("key", "text").join(todo, F.col("key") == F.col("_key")).select("key", "text", "open")
     windows = materialize(texts.mapInArrow(partial(_unrolled, width=width), "anchor long, window long, key long, start int"), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
     hits = windows.join(twice, ["anchor", "window"], "left_semi").select("key", "start", F.col("start").alias("last"))
     every = ranked.where("settled").select("key", "start", "last").unionByName(hits)
-    return every.groupBy("key").agg(F.collect_set(F.struct("start", "last")).alias("spans"))
+    spans = every.groupBy("key").agg(F.collect_set(F.struct("start", "last")).alias("spans"))
+    return materialize(spans, "spans", ranked, windows)
 
 
 def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .graph import components
-from .shared import discard, docs_of, materialize
+from .shared import discard, docs_of, free_name, materialize
 
 U = np.uint64
 K = 5
@@ -188,12 +188,12 @@ def bound(a: bytes, b: bytes, n: int, m: int) -> int:
 
 @tn.lean
 def _membership(batches):
-    """doc_id, cls, n of every document, and from each the tokens of its tiles (one row a document)."""
+    """doc_id, key (of the text), cls and n of every document."""
     for batch in batches:
         n, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for i, hashes in shingle_rows(batch):
             n[i], keys[i] = len(hashes), set_key(hashes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, mask=n == 0), pa.array(n)], ["doc_id", "cls", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(keys, mask=n == 0), pa.array(n)], ["doc_id", "key", "cls", "n"])
 
 
 def _tiles(classes: np.ndarray):
@@ -436,10 +436,10 @@ def links_of(pairs: DataFrame, sets: DataFrame, label: str, screened: DataFrame
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n) of all documents, and (cls, root) of every class with a link."""
+    """(doc_id, key, cls, n) of all documents, and (cls, root) of every class with a link."""
     docs = docs_of(docs, "doc_id", "text")
     classes = bucket_classes(docs)
-    members = materialize(docs.mapInArrow(_membership, "doc_id long, cls long, n long"), "members")
+    members = materialize(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_membership, "doc_id long, key long, cls long, n long"), "members")
     tiles = docs.mapInArrow(_tiles(classes), "token long, cls long, n int, pos int")
     del classes
     sort = ("token", "n", "cls")
@@ -495,5 +495,30 @@ def groups(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates, all columns kept: one row of each group stays.
+
+    It is a row of the group's smallest doc_id (null last); of different texts with that id the one
+    with the smallest hash, and of rows that repeat id and text any one.  Rows without words are in no
+    group and all stay."""
+    members, roots = linked_classes(docs)
+    worded = members.where("cls IS NOT NULL")
+    first = worded.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    best = first.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("text_key"))
+    often = worded.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    best = best.join(often, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))).select("id", "text_key", "n")
+    blank = members.where("cls IS NULL").select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.lit(1).cast("long").alias("n")).distinct()
+    stay = materialize(best.unionByName(blank), "stay", members)
+    its, row = free_name(docs, "stay"), free_name(docs, "row")
+    rows = docs.withColumn(row, F.struct(F.col("`doc_id`").alias("id"), F.xxhash64("text").alias("text_key")))
+    same = F.col(f"{row}.id").eqNullSafe(F.col(f"{its}.id")) & (F.col(f"{row}.text_key") == F.col(f"{its}.text_key"))
+    rows = rows.join(stay.select(F.struct(*stay.columns).alias(its)), same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.where(F.col(f"{its}.n") == 1).select(*columns)
+    if not stay.where("n > 1").limit(1).count():
+        return once
+    return once.unionByName(rows.where(F.col(f"{its}.n") > 1).dropDuplicates([row]).select(*columns))
+
+
 def jaccard_report(docs: DataFrame) -> DataFrame:
     return groups(docs)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialize, row_key
+from .shared import free_name, let, materialize, row_key
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 WIDTH = 3
@@ -46,17 +46,20 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     here = F.struct("doc_id", "key", F.col("at")[0].alias("line"))
     repeated = placed.groupBy("a", "b").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     later = placed.join(repeated, ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
-    covered = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_covered")).withColumnRenamed("key", "_key")
-    out = df.withColumn("_row", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).join(covered, F.col("_row") == F.col("_key"), "left")
-    body, found = F.col(f"`{text}`"), F.col("_covered").isNotNull()
+    # the texts' key and covered lines stand under names that no column of the input has
+    row, its = free_name(df, "row"), free_name(df, "covered")
+    covered = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("lines")).select(F.struct("key", "lines").alias(its))
+    out = df.withColumn(row, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).join(covered, F.col(row) == F.col(f"{its}.key"), "left")
+    gone = F.col(f"{its}.lines")
+    body, found = F.col(f"`{text}`"), gone.isNotNull()
 
     def kept(x: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_covered"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone)
         return F.transform(stay, lambda i: F.get(x, i))
 
     new = F.when(found, F.array_join(let(F.split(body, "\n"), kept), "\n")).otherwise(body)
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(_worded(F.split(body, "\n")))).cast("long")
-    removed = F.when(found, F.size("_covered")).otherwise(0).cast("long")
+    removed = F.when(found, F.size(gone)).otherwise(0).cast("long")
     columns = [F.col(f"`{c}`") if c != text else new.alias(text) for c in df.columns if c not in ("n_lines", "n_removed")]
     return out.select(*columns, n_lines.alias("n_lines"), removed.alias("n_removed"))
 

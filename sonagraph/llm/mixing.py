@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, words_of
+from .shared import free_name, materialize, words_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -77,12 +77,8 @@ def thresholds(sized: DataFrame, goals: DataFrame, bits: int = BITS, levels: int
     return state.select("s", F.col("left"), F.col("open_at").alias("at"), "words", "n")
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """All rows of ``df`` with size, source_size, target and taken added.
-
-    taken = size times the whole part of target / source_size, and once more for the documents
-    below the threshold; the document at the threshold is taken if that comes nearer to the target.
-    """
+def _mixed(df: DataFrame, doc_id: str, text: str, source: str) -> tuple[DataFrame, str]:
+    """``df`` and a struct (size, source_size, target, taken), and the struct's name."""
     size = F.size(words_of(F.col(f"`{text}`"))).cast("long")
     at = place(F.col(f"`{doc_id}`"), F.col(f"`{source}`"))
     sized = materialize(df.select(F.col(f"`{source}`").alias("source"), at.alias("place"), size.alias("size")), "sizes")
@@ -91,22 +87,37 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     goals = targets(sources).withColumn("whole", whole)
     goals = materialize(goals.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     cut = thresholds(sized, goals)
-    plan = goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target", F.col("whole").alias("_whole"), F.col("left").alias("_left"), F.col("at").alias("_at"), F.col("words").alias("_words"), F.col("n").alias("_n")
-    )
-    plan = materialize(plan, "plan")
-    taken_names = {"size", "source_size", "target", "taken"}
-    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in taken_names], size.alias("size"), at.alias("_place"))
-    joined = own.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("_s")))
-    tie = F.when(F.col("_n") == 1, F.when(2 * F.col("_left") >= F.col("_words"), F.col("size")).otherwise(0)).otherwise(F.floor(F.col("size") * F.col("_left") / F.col("_words")))
-    once = F.when(F.col("_place") < F.col("_at"), F.col("size")).when(F.col("_place") == F.col("_at"), tie).otherwise(0)
-    taken = (F.col("_whole") * F.col("size") + F.coalesce(once, F.lit(0))).cast("long")
-    return joined.withColumn("taken", taken).drop("_s", "_whole", "_left", "_at", "_words", "_n", "_place")
-
-
-def apply_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken (a part of a document counts as one
-    copy if at least half of it is taken)."""
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = mixed.withColumn("_copies", copies).where(F.col("_copies") > 0)
-    return rows.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    plan = goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
+    plan = materialize(plan.select("source", "source_size", "target", "whole", "left", "at", "words", "n"), "plan", sized, goals)
+    # one struct a side, under a name that no column of the input has
+    own, its = free_name(df, "mix"), free_name(df, "plan")
+    rows = df.withColumn(own, F.struct(size.alias("size"), at.alias("place"), F.col(f"`{source}`").alias("source")))
+    rows = rows.join(plan.select(F.struct(*plan.columns).alias(its)), F.col(f"{own}.source").eqNullSafe(F.col(f"{its}.source")))
+    amount, here = F.col(f"{own}.size"), F.col(f"{own}.place")
+    p = {c: F.col(f"{its}.{c}") for c in plan.columns}
+    tie = F.when(p["n"] == 1, F.when(2 * p["left"] >= p["words"], amount).otherwise(0)).otherwise(F.floor(amount * p["left"] / p["words"]))
+    once = F.when(here < p["at"], amount).when(here == p["at"], tie).otherwise(0)
+    taken = (p["whole"] * amount + F.coalesce(once, F.lit(0))).cast("long")
+    found = F.struct(amount.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), taken.alias("taken"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(own)), own
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """All rows of ``df`` with size, source_size, target and taken added (input columns of these names
+    are replaced; ``apply_mix`` keeps them).
+
+    taken = size times the whole part of target / source_size, and once more for the documents
+    below the threshold; the document at the threshold is taken if that comes nearer to the target.
+    """
+    rows, own = _mixed(df, doc_id, text, source)
+    names = ("size", "source_size", "target", "taken")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"{own}.{n}").alias(n) for n in names])
+
+
+def apply_mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed corpus, with the columns of ``df``: each document as often as it is taken (a part of a
+    document counts as one copy if at least half of it is taken)."""
+    rows, own = _mixed(df, doc_id, text, source)
+    copies = F.when(F.col(f"{own}.size") > 0, F.round(F.col(f"{own}.taken") / F.col(f"{own}.size"))).otherwise(0).cast("int")
+    repeated = F.explode(F.when(copies > 0, F.array_repeat(F.lit(True), copies)))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], repeated.alias(own)).drop(own)

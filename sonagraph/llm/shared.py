@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space and the ASCII controls tab..carriage return.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
-
 #: Spark drops a query's shuffle files when the query ends, not when the driver collects its garbage.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What one Arrow batch may hold: texts differ a thousandfold in length, so rows don't bound it.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.  Where that is unset, one below the
@@ -44,7 +46,7 @@ def materialize(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
     tables ``done``, which nothing reads any more."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sonagraph/{label}-{uuid.uuid4().hex}"
-    with _set(spark, DROP_SHUFFLES, "true"):
+    with _set(spark, DROP_SHUFFLES, "true"), _set(spark, ARROW_BYTES, "4m"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -65,6 +67,14 @@ def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (Spark doesn't tell case apart)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """64-bit identity of a row by content.  Repeated rows share it, and get the same result."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -348,7 +348,13 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - target[s]) <= max(len(words(r[1])) for r in rows if r[3] == s)
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs).select(*got[0].asDict()).collect()), key=repr)
     assert mixing.mix(empty(docs)).count() == 0
-    assert mixing.apply_mix(mixing.mix(docs), docs.columns).columns == docs.columns
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    copies = collections.Counter()
+    for r in got:
+        copies[r["doc_id"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +copies
+    assert {r["size"] for r in mixed.select("size").collect()} == {3}  # the input's own column
 
 
 @pytest.mark.parametrize("block", [decontaminate.MAX_BLOCK_BYTES, 400])

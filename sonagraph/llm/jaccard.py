@@ -217,29 +217,10 @@ def _tiles(classes: np.ndarray):
     return run
 
 
-def _runs(batches) -> Iterator[dict[str, np.ndarray]]:
-    """Arrow batches sorted by token as numpy columns, cut so that a token's rows come together."""
-    rest: list[dict[str, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-        if part["token"][0] == part["token"][-1] and rest and rest[0]["token"][0] == part["token"][0]:
-            rest.append(part)
-            continue
-        have = {k: np.concatenate([x[k] for x in rest] + [part[k]]) for k in part}
-        cut = int(np.searchsorted(have["token"], have["token"][-1], side="left"))
-        if cut:
-            yield {k: v[:cut] for k, v in have.items()}
-        rest = [{k: v[cut:] for k, v in have.items()}]
-    if rest:
-        yield {k: np.concatenate([x[k] for x in rest]) for k in rest[0]}
-
-
 @tn.lean
 def _star(batches):
     """Rows of tiles with two classes or more, with the class that leads their size band there."""
-    for part in _runs(batches):
+    for part in tn.runs(batches, "token"):
         token, cls, n, pos = (part[k] for k in ("token", "cls", "n", "pos"))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # copies of a class are one row
@@ -286,7 +267,7 @@ def _beside(token, cls, comp, n, pos, reach: int) -> list[np.ndarray]:
 def _probe(batches, salt: int):
     """Pairs of neighbours in a tile, its classes in the order of a hash: a group's tiles hold much
     the same classes in the same order, so a class meets a few partners, however large the group."""
-    for part in _runs(batches):
+    for part in tn.runs(batches, "token"):
         early = part["pos"] * 7 <= part["n"]  # a linked pair's first common token lies here
         part = {k: v[early] for k, v in part.items()}
         order = np.lexsort((tn.mix(part["cls"].view(U) + U(salt)), part["token"]))
@@ -295,13 +276,13 @@ def _probe(batches, salt: int):
 
 def _narrow(batches):
     """All pairs of different components in tiles of less than ``WIDE`` classes."""
-    for part in _runs(batches):
+    for part in tn.runs(batches, "token"):
         yield _pairs(_beside(*(part[k] for k in ("token", "cls", "comp", "n", "pos")), reach=WIDE - 1))
 
 
 def _open(batches):
     """The rows of the wide tiles that hold several components."""
-    for part in _runs(batches):
+    for part in tn.runs(batches, "token"):
         token, comp = part["token"], part["comp"]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(start, len(token)))
@@ -342,7 +323,7 @@ class Bitmaps:
 def _across(batches):
     """Pairs of classes of different components within a tile, that size, place and bitmaps don't
     rule out."""
-    for part in _runs(batches):
+    for part in tn.runs(batches, "token"):
         token, cls, comp, pos = (part[k] for k in ("token", "cls", "comp", "pos"))
         n = part["n"].astype(np.int64)
         edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))

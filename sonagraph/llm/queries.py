@@ -46,7 +46,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import passage_report
 
-    return passage_report(_table(spark, sf_dir, "documents"))
+    return passage_report(_table(spark, sf_dir, "documents"), partners=False)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,25 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def runs(batches, key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Arrow batches sorted by ``key`` as numpy columns, cut so that a key's rows come together."""
+    rest: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+        if part[key][0] == part[key][-1] and rest and rest[0][key][0] == part[key][0]:
+            rest.append(part)
+            continue
+        have = {k: np.concatenate([x[k] for x in rest] + [part[k]]) for k in part}
+        cut = int(np.searchsorted(have[key], have[key][-1], side="left"))
+        if cut:
+            yield {k: v[:cut] for k, v in have.items()}
+        rest = [{k: v[cut:] for k, v in have.items()}]
+    if rest:
+        yield {k: np.concatenate([x[k] for x in rest]) for k in rest[0]}
+
+
 def rightmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` values the index of its smallest, the last one among equals."""
     n = len(values)

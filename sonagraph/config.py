@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -67,3 +67,8 @@ class EngineConfig:
     hashes: HashConfig = field(default_factory=HashConfig)
     match: MatchConfig = field(default_factory=MatchConfig)
     bands: BandConfig = field(default_factory=BandConfig)
+    #: Lay the bands out for each recording's own sample rate and transform size instead.
+    bands_for_rate: bool = False
+
+    def bands_at(self, sample_rate: int) -> BandConfig:
+        return replace(self.bands, sample_rate=sample_rate, fft_size=self.stft.fft_size) if self.bands_for_rate else self.bands

@@ -10,6 +10,8 @@ from ..config import BandConfig, PeakConfig, StftConfig
 from .bands import bin_to_band
 from .expressions import DB_EPSILON
 
+#: Fixed value: the message of a transform of another length.
+NOT_POWER_OF_TWO = "dsp: FFT input length must be a power of two"
 #: Frames that are held at once; memory follows this, not the length of a recording.
 CHUNK_FRAMES = 512
 
@@ -24,7 +26,7 @@ def fft(samples: np.ndarray) -> np.ndarray:
     """Discrete Fourier transform of a power-of-two number of samples."""
     n = len(samples)
     if n == 0 or n & (n - 1):
-        raise ValueError("the number of samples must be a power of two")
+        raise ValueError(NOT_POWER_OF_TWO)
     return np.fft.fft(samples)
 
 

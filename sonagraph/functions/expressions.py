@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DB_EPSILON = 1e-10
+# The texts of a hash and of the statistics.
+HASH_TEXT = "HashRecord{hash=0x%s anchor=%d target=%d delta=%d offset=%d}"
+STATS_TEXT = "StoreStats{songs=%d hashEntries=%d totalPostings=%d}"
 ANCHOR_BITS, TARGET_BITS, DELTA_BITS = 10, 10, 12
 
 
@@ -31,11 +34,11 @@ def unpack_hash(value: Column) -> Column:
 
 def hash_string(value: Column, offset: Column) -> Column:
     parts = unpack_hash(value)
-    return F.format_string("HashRecord{hash=0x%s anchor=%d target=%d delta=%d offset=%d}", F.lpad(F.hex(value), 8, "0"), parts["anchor_bin"], parts["target_bin"], parts["delta"], offset)
+    return F.format_string(HASH_TEXT, F.lpad(F.hex(value), 8, "0"), parts["anchor_bin"], parts["target_bin"], parts["delta"], offset)
 
 
 def stats_string(songs: Column, entries: Column, postings: Column) -> Column:
-    return F.format_string("StoreStats{songs=%d hashEntries=%d totalPostings=%d}", songs, entries, postings)
+    return F.format_string(STATS_TEXT, songs, entries, postings)
 
 
 def hann_weight(i: Column, n: Column) -> Column:

@@ -1,7 +1,8 @@
 """The library: songs and their postings, in Parquet tables or in memory.
 
 ``songs(id, name)`` is the commit marker: postings are written first, and readers see those of
-registered songs only, so a failed write leaves nothing visible.  One writer at a time.
+registered songs only, so a failed write leaves nothing visible.  New ids begin beyond those of all
+songs and postings, so what such a write left behind never becomes another song's.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ SONGS = "id long, name string"
 FINGERPRINTS = "hash long, song_id long, time_offset int"
 
 
-#: Fixed value: the message of a repeated name.
+# The messages of a repeated name and of an unknown id.
 DUPLICATE = "storage: song name already registered"
+NOT_FOUND = "storage: song ID not found"
 
 
 class DuplicateSong(ValueError):
@@ -44,10 +46,11 @@ def number_names(names: DataFrame, after: int = 0) -> DataFrame:
     return placed.select((F.col("_rank") + F.col("before") + after).cast("long").alias("id"), "name")
 
 
-def register_songs(names: DataFrame, songs: DataFrame) -> DataFrame:
-    """Rows (id, name) for the names that ``songs`` lacks; repeated names count once."""
+def register_songs(names: DataFrame, songs: DataFrame, after: int | None = None) -> DataFrame:
+    """Rows (id, name) for the names that ``songs`` lacks, with ids beyond ``after`` (else the largest of
+    ``songs``); repeated names count once."""
     fresh = names.select("name").where("name IS NOT NULL").distinct().join(songs, "name", "left_anti")
-    last = songs.agg(F.max("id")).first()[0] or 0
+    last = (songs.agg(F.max("id")).first()[0] or 0) if after is None else after
     return number_names(fresh, last)
 
 
@@ -89,10 +92,17 @@ class Library:
     def songs(self) -> DataFrame:
         return self._songs if self.path is None else self.spark.read.schema(SONGS).parquet(f"{self.path}/songs")
 
+    def _postings(self) -> DataFrame:
+        return self._fingerprints if self.path is None else self.spark.read.schema(FINGERPRINTS).parquet(f"{self.path}/fingerprints")
+
+    def last_id(self) -> int:
+        """The largest id that a song or a posting has, registered or not."""
+        ids = self.songs().select("id").unionByName(self._postings().select(F.col("song_id").alias("id")))
+        return ids.agg(F.max("id")).first()[0] or 0
+
     def fingerprints(self) -> DataFrame:
         """Postings of registered songs."""
-        rows = self._fingerprints if self.path is None else self.spark.read.schema(FINGERPRINTS).parquet(f"{self.path}/fingerprints")
-        return rows.join(self.songs().select(F.col("id").alias("song_id")), "song_id", "left_semi").select("hash", "song_id", "time_offset")
+        return self._postings().join(self.songs().select(F.col("id").alias("song_id")), "song_id", "left_semi").select("hash", "song_id", "time_offset")
 
     def add_songs(self, rows: DataFrame) -> None:
         if self.path is None:
@@ -112,7 +122,7 @@ class Library:
     def register_song(self, name: str) -> int:
         if self.songs().where(F.col("name") == name).limit(1).count():
             raise DuplicateSong(name)
-        row = register_songs(self.spark.createDataFrame([(name,)], "name string"), self.songs())
+        row = register_songs(self.spark.createDataFrame([(name,)], "name string"), self.songs(), self.last_id())
         self.add_songs(row)
         return self.songs().where(F.col("name") == name).first()["id"]
 
@@ -131,6 +141,13 @@ class Library:
         row = self.songs().where(F.col("id") == song_id).first()
         return row["name"] if row else None
 
+    def require_song(self, song_id: int) -> str:
+        """The name, or ``SongNotFound``."""
+        name = self.song_name(song_id)
+        if name is None:
+            raise SongNotFound(NOT_FOUND)
+        return name
+
     def stats(self) -> DataFrame:
         return store_stats(self.songs(), self.fingerprints())
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BandConfig
+from ..config import BandConfig, PeakConfig
 from ..operators.frames import constellation, extract_peaks
 from ..operators.hashes import generate_hashes
 
 SONG_FRAMES = 125
 CLIP_START, CLIP_FRAMES = 290, 50
 BANDS = BandConfig(6, 2.0, 60.0, 128, 128)
+PER_FRAME = PeakConfig().peaks_per_band * BANDS.n_bands
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def peaks_of(frames: DataFrame) -> DataFrame:
 
 
 def hashes_of(frames: DataFrame) -> DataFrame:
-    return generate_hashes(constellation(peaks_of(frames)))
+    return generate_hashes(constellation(peaks_of(frames)), per_frame=PER_FRAME)
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

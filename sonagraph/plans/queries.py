@@ -155,7 +155,7 @@ def best_match_query(spark, sf_dir):
     """Every song of the library, from its 25th frame on, as a query against the whole library."""
     points = O.constellation(A.peaks_of(A.library_frames(spark, sf_dir))).where("time_frame >= 25")
     points = points.select(F.col("song").alias("query"), (F.col("time_frame") - 25).alias("time_frame"), "freq_bin")
-    out = best_match(generate_hashes(points, key="query"), A.fingerprints(spark, sf_dir), A.songs(spark, sf_dir))
+    out = best_match(generate_hashes(points, key="query", per_frame=A.PER_FRAME), A.fingerprints(spark, sf_dir), A.songs(spark, sf_dir))
     return out.withColumn("confidence", F.round("confidence", 6))
 
 

@@ -22,7 +22,10 @@ from .operators.library import DUPLICATE
 from .plans.engine import Engine
 
 MAX_BODY = 50 << 20
-TIMEOUT_S, DRAIN_S = 30, 10
+READ_S, WRITE_S, IDLE_S, DRAIN_S = 30, 60, 120, 10
+# The version and the messages that callers compare with.
+VERSION = "step5"
+BAD_FORM, BAD_AUDIO, INDEXED = "failed to parse multipart form: {}", "invalid audio: {}", "song '{}' is already indexed"
 log = logging.getLogger("sonagraph.service")
 
 
@@ -39,10 +42,10 @@ def song_name(given: str | None, file_name: str | None) -> str:
 def parse_form(content_type: str, body: bytes) -> dict[str, tuple[str | None, bytes]]:
     """Fields of a multipart form: name -> (file name, content)."""
     if not content_type.lower().startswith("multipart/form-data"):
-        raise HttpError(400, "invalid multipart form")
+        raise HttpError(400, BAD_FORM.format("the content type isn't multipart/form-data"))
     message = BytesParser().parsebytes(b"Content-Type: " + content_type.encode("latin-1") + b"\r\n\r\n" + body)
     if not message.is_multipart():
-        raise HttpError(400, "invalid multipart form")
+        raise HttpError(400, BAD_FORM.format("no part found"))
     return {str(p.get_param("name", header="content-disposition")): (p.get_filename(), p.get_payload(decode=True) or b"") for p in message.get_payload()}
 
 
@@ -64,9 +67,9 @@ class Service:
 
     def _route(self, method: str, path: str, content_type: str, body: bytes):
         if path == "/health":
-            return 200, {"status": "ok"}
+            return 200, {"status": "ok", "version": VERSION}
         if path == "/songs" and method == "GET":
-            return 200, self.engine.stats().first().asDict()
+            return 200, {"stats": self.engine.stats().first().asDict()}
         if path not in ("/songs", "/query"):
             raise HttpError(404, "not found")
         if method != "POST":
@@ -86,14 +89,16 @@ class Service:
         name = song_name(form.get("name", (None, b""))[1].decode("utf-8", "replace"), file_name)
         with self.writing:
             row = self.engine.index(self._files(file_name or "upload", content), F.lit(name)).first()
-        if row["song_id"] is None:
-            raise HttpError(409 if row["error"] == DUPLICATE else 400, row["error"])
+        if row["error"] == DUPLICATE:
+            raise HttpError(409, INDEXED.format(name))
+        if row["error"]:
+            raise HttpError(400, BAD_AUDIO.format(row["error"]))
         return 201, {k: row[k] for k in ("song_id", "name", "peaks", "hashes")}
 
     def _query(self, content: bytes):
         row = self.engine.query(self._files("clip", content)).first()
         if row["error"]:
-            raise HttpError(400, row["error"])
+            raise HttpError(400, BAD_AUDIO.format(row["error"]))
         if row["song_id"] is None:
             raise HttpError(404, "no match found")
         return 200, {k: row[k] for k in ("song_id", "name", "votes", "confidence", "alignment_frames")}
@@ -103,16 +108,26 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     numbers = itertools.count(1)
 
     class Handler(BaseHTTPRequestHandler):
-        timeout = TIMEOUT_S
+        protocol_version = "HTTP/1.1"
+
+        def handle_one_request(self) -> None:
+            self.connection.settimeout(IDLE_S)  # between requests
+            super().handle_one_request()
 
         def _serve(self) -> None:
             number, began = f"{next(numbers):08d}", time.monotonic()
-            length = int(self.headers.get("Content-Length") or 0)
-            if length > MAX_BODY:
+            self.connection.settimeout(READ_S)
+            given = self.headers.get("Content-Length") or "0"
+            length = int(given) if given.isdecimal() else -1
+            if length < 0:
+                status, out = 400, {"ok": False, "error": "invalid Content-Length"}
+                self.close_connection = True
+            elif length > MAX_BODY:
                 status, out = 413, {"ok": False, "error": "request body too large"}
                 self.close_connection = True
             else:
                 status, out = service.answer(self.command, self.path, self.headers.get("Content-Type", ""), self.rfile.read(length))
+            self.connection.settimeout(WRITE_S)
             data = json.dumps(out).encode()
             self.send_response(status)
             for key, value in (("Content-Type", "application/json"), ("Content-Length", str(len(data))), ("X-Request-ID", number)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -46,21 +47,26 @@ def decode_files(files: DataFrame) -> DataFrame:
 def _analyse(batches, cfg: EngineConfig):
     # a row at a time: memory holds one recording and a stretch of its frames
     for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+        names = batch.column("name") if "name" in batch.schema.names else [None] * batch.num_rows
+        for path, content, name in zip(batch.column("path"), batch.column("content"), names, strict=True):
             rate, samples, error = _decoded(content.as_py())
             n = 0 if samples is None else len(samples)
-            parts = list(dsp.peaks(samples, cfg.stft, cfg.peaks, cfg.bands)) if n else []
+            parts = list(dsp.peaks(samples, cfg.stft, cfg.peaks, cfg.bands_at(rate))) if n else []
             t, f, db = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
             found = pa.StructArray.from_arrays([pa.array(t.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(db.astype(float))], fields=list(_PEAK))
             peaks = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
             columns = [pa.array([path.as_py()]), pa.array([rate], pa.int32()), pa.array([n], pa.int64()), pa.array([dsp.n_frames(n, cfg.stft)], pa.int32()), peaks, pa.array([error], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "sample_rate", "n_samples", "n_frames", "peaks", "error"])
+            labels = ["path", "sample_rate", "n_samples", "n_frames", "peaks", "error"]
+            if name is not None:
+                columns, labels = [*columns, pa.array([name.as_py()], pa.string())], [*labels, "name"]
+            yield pa.RecordBatch.from_arrays(columns, labels)
 
 
 def analyse_files(files: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """One row a file with its peaks: decoding, transform and peak search in one Arrow pass, so only
-    peaks leave the Python worker."""
-    return files.select("path", "content").mapInArrow(partial(_analyse, cfg=cfg), ANALYSES)
+    peaks leave the Python worker.  A column ``name`` goes through."""
+    named = "name" in files.columns
+    return files.select("path", "content", *["name"] * named).mapInArrow(partial(_analyse, cfg=cfg), ANALYSES + ", name string" * named)
 
 
 def spectrogram(signals: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -93,7 +99,8 @@ def encode_signals(signals: DataFrame) -> DataFrame:
 
 class WavDataSource(DataSource):
     """``df.write.format("wav").mode("append").save(folder)``: rows (name, sample_rate, samples), a
-    file each.  The folder must be one that all executors share."""
+    file each.  The folder must be a mounted one that all executors share.  A name that is there already
+    with other content is an error; the same content is a repeated task and replaces it."""
 
     @classmethod
     def name(cls) -> str:
@@ -116,7 +123,16 @@ class _WavWriter(DataSourceWriter):
         os.makedirs(self.folder, exist_ok=True)
         for row in iterator:
             target = os.path.join(self.folder, f"{os.path.basename(row['name'])}.wav")
-            with open(f"{target}.part", "wb") as out:  # a repeated task replaces whole files
-                out.write(wav.encode(np.array(row["samples"], float), row["sample_rate"]))
-            os.replace(f"{target}.part", target)
+            data = wav.encode(np.array(row["samples"], float), row["sample_rate"])
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as out:
+                out.write(data)
+            try:
+                os.link(part, target)  # fails if the name is taken
+            except FileExistsError:
+                with open(target, "rb") as there:
+                    if there.read() != data:
+                        raise
+            finally:
+                os.remove(part)
         return WriterCommitMessage()

@@ -1,16 +1,22 @@
 """The library, matching, and the verbs end to end on synthesized recordings."""
 
+import json
+import threading
+from http.client import HTTPConnection
+from http.server import ThreadingHTTPServer
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_signal import A_MAJOR, RATE, chord
 
 from sonagraph import cli
+from sonagraph.config import EngineConfig
 from sonagraph.functions import wav
-from sonagraph.operators.library import DUPLICATE, DuplicateSong, Library, zip_batch
+from sonagraph.operators.library import DUPLICATE, DuplicateSong, Library, SongNotFound, zip_batch
 from sonagraph.operators.match import best_match
 from sonagraph.plans.engine import Engine
-from sonagraph.service import MAX_BODY, Service, song_name
+from sonagraph.service import MAX_BODY, Service, handler, song_name
 from sonagraph.sources import recordings
 from sonagraph.streaming.ingest import ingest
 
@@ -126,15 +132,82 @@ def form(content, name=None):
 def test_service(spark):
     service = Service(Engine(Library.memory(spark)))
     song = wav.encode(chord(A_MAJOR, 2), RATE)
-    assert service.answer("GET", "/health")[0] == 200
+    assert service.answer("GET", "/health") == (200, {"ok": True, "data": {"status": "ok", "version": "step5"}})
     assert service.answer("POST", "/songs", *form(song, "Tune"))[1]["data"]["name"] == "Tune"
-    assert service.answer("POST", "/songs", *form(song, "Tune"))[0] == 409
-    assert service.answer("GET", "/songs")[1]["data"]["songs"] == 1
+    assert service.answer("POST", "/songs", *form(song, "Tune")) == (409, {"ok": False, "error": "song 'Tune' is already indexed"})
+    assert service.answer("GET", "/songs")[1]["data"]["stats"]["songs"] == 1
     assert service.answer("POST", "/query", *form(song))[1]["data"]["name"] == "Tune"
     assert service.answer("POST", "/query", *form(wav.encode(np.zeros(RATE), RATE)))[0] == 404
-    assert service.answer("POST", "/songs", *form(b"garbage"))[0] == 400
+    assert service.answer("POST", "/songs", *form(b"garbage")) == (400, {"ok": False, "error": f"invalid audio: {wav.NOT_WAV}"})
     assert service.answer("POST", "/songs", "text/plain", b"x")[0] == 400
     assert service.answer("DELETE", "/songs")[0] == 405 and service.answer("GET", "/query")[0] == 405
     assert service.answer("GET", "/other")[0] == 404
     assert service.answer("POST", "/songs", "x", bytes(MAX_BODY + 1))[0] == 413
     assert song_name(" ", "a/My.Song.wav") == "My.Song" and song_name(None, None) == "unknown"
+
+
+def test_server(spark):
+    """The running server: request ids, a body above the limit, a bad length, a failing route."""
+    service = Service(Engine(Library.memory(spark)))
+    server = ThreadingHTTPServer(("127.0.0.1", 0), handler(service))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    numbers = []
+
+    def ask(method, path, headers=None):
+        connection = HTTPConnection("127.0.0.1", server.server_port, timeout=60)
+        connection.putrequest(method, path)
+        for k, v in (headers or {}).items():
+            connection.putheader(k, v)
+        connection.endheaders()
+        answer = connection.getresponse()
+        numbers.append(answer.getheader("X-Request-ID"))
+        out = answer.status, json.loads(answer.read())
+        connection.close()
+        return out
+
+    try:
+        assert ask("GET", "/health")[0] == 200
+        assert ask("POST", "/songs", {"Content-Length": str(MAX_BODY + 1)})[0] == 413
+        assert ask("POST", "/songs", {"Content-Length": "many"})[0] == 400
+        service.engine = None
+        assert ask("GET", "/songs") == (500, {"ok": False, "error": "internal server error"})
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert len(set(numbers)) == 4
+
+
+def test_postings_of_a_failed_write_stay_hidden(spark, tmp_path):
+    lib = Library.open(spark, str(tmp_path / "db"))
+    a = lib.register_song("A")
+    lib.store_hash(9, a + 1, 3)  # its song was never registered
+    b = lib.register_song("B")
+    assert lib.lookup(9).count() == 0 and b > a + 1
+    lib.store_hash(9, b, 4)
+    assert [tuple(r) for r in lib.lookup(9).collect()] == [(b, 4)]
+    assert lib.require_song(b) == "B"
+    with pytest.raises(SongNotFound, match="storage: song ID not found"):
+        lib.require_song(99)
+
+
+def test_wav_sink_refuses_a_taken_name(spark, tmp_path):
+    spark.dataSource.register(recordings.WavDataSource)
+    write = lambda x: spark.createDataFrame([("s", 8000, [x])], "name string, sample_rate int, samples array<double>").write.format("wav").mode("append").save(str(tmp_path))
+    write(0.5)
+    write(0.5)
+    with pytest.raises(Exception, match="exists"):
+        write(0.25)
+    assert [p.name for p in tmp_path.iterdir()] == ["s.wav"]
+
+
+def test_bands_for_rate():
+    cfg = EngineConfig(bands_for_rate=True)
+    assert EngineConfig().bands_at(8000).sample_rate == 44100 and cfg.bands_at(8000).sample_rate == 8000
+
+
+def test_index_keeps_no_peaks(spark, folder):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    report = Engine(Library.memory(spark)).index(recordings.read_files(spark, str(folder / "a.wav")))
+    assert report.first()["peaks"] == 179
+    report.unpersist(blocking=True)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= before

@@ -144,7 +144,7 @@ def test_ties_kill_both(spark):
     assert [(r["time_frame"], r["freq_bin"]) for r in got] == [(2, 7)]
 
 
-POINTS = [(0, 41), (0, 92), (2, 55), (5, 80), (5, 120), (10, 41), (15, 200), (20, 41), (25, 60), (30, 90)]
+POINTS = [(t * t % 37, 30 + 53 * t % 301) for t in range(12)]
 
 
 def brute_hashes(points, window, k):
@@ -158,8 +158,9 @@ def brute_hashes(points, window, k):
 @pytest.mark.parametrize(("window", "k"), [(100, 5), (20, 2), (3, 1)])
 def test_fan_out(spark, window, k):
     df = spark.createDataFrame([(1, t, f) for t, f in POINTS], "song long, time_frame int, freq_bin int")
-    got = generate_hashes(df, HashConfig(window, k)).collect()
-    assert sorted((r["hash"], r["time_offset"]) for r in got) == brute_hashes(POINTS, window, k)
+    for per_frame in (None, 3):
+        got = generate_hashes(df, HashConfig(window, k), per_frame=per_frame).collect()
+        assert sorted((r["hash"], r["time_offset"]) for r in got) == brute_hashes(POINTS, window, k)
 
 
 def test_expressions(spark):

@@ -16,6 +16,9 @@ for each distinct stretch between spaces that a worker meets (a bounded cache, b
 A space before a non-space always starts a new piece for byte-level splitters, so the stretches can
 be encoded apart; texts near an added token's spelling are encoded whole.
 
+A worker's caches are bounded by bytes, and a long text is encoded a stretch at a time; what a task
+holds beside follows the ids of a shard, or of the longest single document.
+
 Defined cases: null is the empty text (the end id alone); null ids come first; repeated rows are
 written as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
@@ -261,7 +264,8 @@ def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MI
         room = min(RULES_PER_ROUND, (1 << 16) - base - n_rules)
         if room <= 0:
             break
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+        key = (seq[:-1] << np.uint32(16)) | seq[1:]  # symbols have 16 bits
+        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
         count = np.bincount(slot[~shut[:-1]], minlength=1 << 20)
         # the slots of the most frequent pairs, then exact counts of the pairs in these
         spread = np.cumsum(np.bincount(np.minimum(count, 1 << 16))[::-1])
@@ -269,16 +273,17 @@ def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MI
         at = np.flatnonzero((count[slot] >= least) & ~shut[:-1])
         if not len(at):
             break
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        pair = key[at]
+        kinds, n = np.unique(pair, return_counts=True)
         best = np.argsort(-n, kind="stable")[:room]
         best = best[n[best] >= min_count]
         if not len(best):
             break
-        number = np.full(len(kinds), -1, np.int64)
-        number[best] = np.arange(len(best))
-        chosen = number[which]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
+        order = np.argsort(best)
+        known = kinds[best[order]]
+        place_ = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        hit = known[place_] == pair
+        at, chosen = at[hit], order[place_[hit]]
         # of touching pairs (a run of neighbours) every other one is replaced
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
@@ -289,7 +294,7 @@ def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MI
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, shut, place = seq[stay], shut[stay], place[stay]
-        rules.append(np.stack([(kinds[best] >> np.uint64(32)).astype(np.uint16), (kinds[best] & np.uint64(0xFFFFFFFF)).astype(np.uint16)], axis=1))
+        rules.append(np.stack([(kinds[best] >> np.uint32(16)).astype(np.uint16), (kinds[best] & np.uint32(0xFFFF)).astype(np.uint16)], axis=1))
         n_rules += len(best)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), seq.astype(np.uint16), place
 

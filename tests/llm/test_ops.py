@@ -479,3 +479,98 @@ def test_pipeline(spark, docs, tmp_path):
     ids = collections.Counter(r["doc_id"] for r in now.select("doc_id").collect())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter(r["doc_id"] for r in out) == ids
+
+
+def test_bucket_counts_beyond_16_bits():
+    import pandas as pd
+
+    table = np.zeros(jaccard.CHUNK, np.uint32)
+    table[:2] = 60_000, 7
+    data = jaccard.zlib.compress(table.tobytes())
+    total = jaccard._sum_chunks(pd.DataFrame({"counts": [data] * 3}))
+    assert total[:2].tolist() == [180_000, 21]
+    classes = jaccard._classes(np.array([60_000, 61_000, 70_000, 2_000_000, 90_000_000]), 60_000.0)
+    assert (np.diff(classes.astype(int)) > 0).all()
+
+
+def test_bucket_counts_restart_before_they_are_full(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "shingle_rows", lambda batch: ((i, np.zeros(30_000, np.uint64)) for i in range(4)))
+    batch = pa.RecordBatch.from_arrays([pa.array([""])], ["text"])
+    got = [np.frombuffer(jaccard.zlib.decompress(x.as_py()), np.uint32)[0] for b in jaccard._count_buckets([batch], 18) for x in b.column("counts")]
+    assert sum(map(int, got)) == 120_000 and len(got) > 1
+
+
+def test_near_duplicates_by_row(spark):
+    r = random.Random(6)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c = prose(80), prose(80), prose(80)
+    near = [*a[:-1], "other"]
+    rows = [(1, a, 0), (1, b, 1), (2, near, 2), (None, a, 3), (3, c, 4), (3, c, 5), (None, prose(50), 6), (4, [], 7), (4, [], 8)]
+    df = spark.createDataFrame([(i, " ".join(t), n) for i, t, n in rows], "doc_id long, text string, stay long")
+    kept = jaccard.near_duplicates(df)
+    assert kept.columns == df.columns
+    left = sorted(x["stay"] for x in kept.collect())
+    assert left in ([0, 1, 4, 6, 7, 8], [0, 1, 5, 6, 7, 8])
+    assert jaccard.near_duplicates(df.where("false")).count() == 0
+
+
+def test_internal_names_do_not_clash(docs):
+    mine = docs.selectExpr("doc_id", "text", "source", "1 AS _words", "2 AS mix", "3 AS plan", "4 AS row", "5 AS covered", "6 AS stay")
+    want = (1, 2, 3, 4, 5, 6)
+    for out in (quality.quality_filter(mine), mixing.apply_mix(mine), lines.line_dedup(mine), jaccard.near_duplicates(mine)):
+        assert out.columns[: len(mine.columns)] == mine.columns
+        assert {tuple(r) for r in out.select(*mine.columns[3:]).collect()} == {want}
+
+
+def test_texts_of_megabytes(spark):
+    """One text far beyond the blocks, with a passage repeated in it, beside short ones."""
+    import pyarrow as pa
+
+    from sonagraph.llm import textnum
+
+    r = random.Random(7)
+    prose = lambda n: " ".join(f"{r.randrange(10**9):x}" for _ in range(n))
+    shared = prose(200)
+    long = f"{prose(150_000)}|{shared}|{prose(170_000)}({shared}){prose(9)}"
+    assert len(long) > 2 * textnum.BLOCK_BYTES
+    df = spark.createDataFrame([(1, long), (2, f"[{shared}]"), (3, prose(60))], "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix.suffix_report(df).collect()}
+    assert got == {1: (2 * len(shared), 2), 2: (len(shared), 1), 3: (0, 0)}
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    for text in (long, "x" * (tokens.ENCODE_BYTES + 9), " " * (tokens.ENCODE_BYTES + 9)):
+        ids = next(iter(encoder.texts(*textnum.utf8(pa.array([text])))))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.held() < 2 * tokens.CACHE_BYTES
+    n = {x["doc_id"]: x["n_shingles"] for x in jaccard.jaccard_report(df).collect()}
+    words_ = long.split(" ")
+    assert n[1] == len({tuple(words_[i : i + 5]) for i in range(len(words_) - 4)})
+
+
+def test_frequent_passages(spark):
+    """A passage that more texts hold than are paired with each other, some with changed words."""
+    r = random.Random(10)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    wide, n = prose(70), 3 * passages.OFTEN
+    texts = []
+    for i in range(n):
+        own = [w if i % 5 or r.random() > 0.05 else f"x{r.randrange(10**6)}" for w in wide]
+        texts.append(prose(25) + own + prose(25))
+    texts += [prose(120) for _ in range(5)]
+    line = prose(12)  # a frequent line that is no passage
+    texts += [prose(60) + line + prose(60) for _ in range(2 * passages.OFTEN)]
+    out = {x["doc_id"]: x for x in passages.passage_report(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert min(out[i]["n_covered"] for i in range(n)) >= passages.MIN_WORDS and {out[i]["group_id"] for i in range(n)} == {0}
+    assert min(out[i]["n_covered"] for i in range(n) if i % 5) >= 65  # a changed end costs the words beyond it
+    assert all(out[i]["n_covered"] == 0 and out[i]["group_id"] == i for i in range(n, len(texts)))
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.arange(500, dtype=np.int32), 1000)
+    closed = np.zeros(len(ids), bool)
+    closed[-1] = True
+    rules, symbols, _ = tokens.compress(ids, closed, 50257)
+    left = collections.Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+    assert max(left.values()) < tokens.MIN_COUNT and len(symbols) < 125 * tokens.MIN_COUNT
+    assert (next(tokens.Shard(tokens.write_shard([(1, ids)], 50257)).documents())[1] == ids).all()

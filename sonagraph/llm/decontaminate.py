@@ -7,7 +7,8 @@ benchmark are looked up, and every hit is verified word by word (by the words' 6
 
 The table is sent only up to ``max_block_bytes`` of benchmark text.  A larger benchmark is dealt into
 blocks of items below that size; documents are scanned against each block and the hit words and items
-of the blocks are merged by document, so the size of the benchmark never bounds a task's memory.
+of the blocks are merged by document, so the size of the benchmark doesn't
+bound a task's memory; a table takes some 16 bytes for each of its block's text.
 
 Defined cases: null and empty texts have no words; items without words have no window; items that
 repeat an item_id count once; a null item_id counts as the item ``null``; repeated documents are

@@ -9,7 +9,7 @@ map side, and has at most ``2**BITS`` rows a source.
 Defined cases: a null text has size 0, a null source is a source of its own (last), sources of size
 0 have target 0; rows that agree in id and source share a hash, and where such a group lies on the
 threshold its rows share what is left of the budget in words; an empty table gives an empty result;
-other columns pass through.
+other columns pass through, but ``mix`` replaces those named like its own four.
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ def trigrams(rules: tuple[SecretRule, ...] = RULES) -> list[str]:
 def postings(rows: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, key) of ``rows`` (key, text), for the trigrams the rules read.
 
-    One regex pass picks a text's trigrams out; overlapping ones are found by lookahead groups.
+    Each wanted trigram is looked for in the lower-cased text.
     """
     wanted = trigrams(rules)
     low = F.lower("text")

@@ -99,6 +99,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scan(table: Table):
     """doc_id, text -> doc_id, key, n_words, hit runs of words, items (ids as strings)."""
 
+    @tn.lean
     def run(batches):
         for batch in batches:
             raw, offsets = tn.utf8(batch.column("text"))
@@ -170,6 +171,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(table: Table, text: str, spans: bool):
+    @tn.lean
     def run(batches):
         for batch in batches:
             raw, offsets = tn.utf8(batch.column(text))

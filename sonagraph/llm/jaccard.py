@@ -30,6 +30,7 @@ component's id unless all are null; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -47,6 +48,8 @@ U = np.uint64
 K = 5
 #: Buckets of the shingle counts: about one for so many bytes of text, within these powers of two.
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 64, 18, 26
+#: Text of one partial table, about: their sums are dealt to as many lanes as each lane then adds.
+PART_BYTES = 1 << 24
 CHUNK, FULL = 1 << 16, 1 << 15
 #: Rounds of paired neighbours in tiles of several classes, before the rest is paired in full.
 PROBES, WIDE = 3, 4
@@ -95,7 +98,9 @@ def _count_buckets(batches, bits: int):
     total = np.zeros(1 << bits, np.uint16)
     for batch in batches:
         for _, hashes in shingle_rows(batch):
-            at, n = np.unique(_bucket(hashes, bits), return_counts=True)
+            buckets = _bucket(hashes, bits)  # in order, as the hashes are
+            first = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+            at, n = buckets[first], np.diff(np.append(first, len(buckets)))
             for lo in range(0, len(at), FULL):
                 own, more = at[lo : lo + FULL], np.minimum(n[lo : lo + FULL], FULL)
                 if (total[own] > 65535 - more).any():
@@ -105,37 +110,41 @@ def _count_buckets(batches, bits: int):
     yield _chunks(total)
 
 
-def _sum_chunks(pdf) -> np.ndarray:
+def _sum_chunks(tables) -> np.ndarray:
     total = np.zeros(CHUNK, np.uint64)
-    for x in pdf["counts"]:
+    for x in tables["counts"]:
         total += np.frombuffer(zlib.decompress(x), np.uint32)
     return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
 
 
-def _add_chunks(pdf):
+def _add_chunks(table: pa.Table) -> pa.Table:
     """The sum of some tables' chunk, and its median."""
-    total = _sum_chunks(pdf)
-    return pdf.iloc[:1].assign(counts=[zlib.compress(total.tobytes(), 1)], usual=[float(np.median(total))])
+    total = _sum_chunks({"counts": table["counts"].to_pylist()})
+    first = table.slice(0, 1)
+    counts = pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())
+    return first.set_column(first.schema.get_field_index("counts"), "counts", counts).append_column("usual", pa.array([float(np.median(total))]))
 
 
 def _class_bytes(batches, usual: float):
-    for pdf in batches:
-        yield pdf[["chunk"]].assign(classes=[zlib.compress(_classes(_sum_chunks(pdf.iloc[i : i + 1]), usual).tobytes(), 1) for i in range(len(pdf))])
+    for batch in batches:
+        classes = [zlib.compress(_classes(_sum_chunks({"counts": [x]}), usual).tobytes(), 1) for x in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(classes, pa.binary())], ["chunk", "classes"])
 
 
 def bucket_classes(docs: DataFrame) -> np.ndarray:
     """A byte for each of a bounded number of buckets (64 MB at most): how far the bucket's count of
     shingles, over all documents, lies above the usual one, in steps of its spread.  The usual count
-    is the median of the chunks' medians.  Partial tables are added in two steps, so no task adds up
-    more than a lane of them; the driver gets bytes only."""
+    is the median of the chunks' medians.  Partial tables are added in two steps: lanes of
+    about the square root of their number, then the lanes; the driver gets bytes only."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
     parts = docs.select("text").mapInArrow(partial(_count_buckets, bits=bits), "chunk int, counts binary")
-    lanes = parts.withColumn("lane", F.spark_partition_id() % 64).groupBy("chunk", "lane").applyInPandas(_add_chunks, "chunk int, counts binary, lane int, usual double")
-    summed = materialize(lanes.select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary, usual double"), "buckets")
+    number = math.isqrt(size // PART_BYTES) + 1
+    lanes = parts.withColumn("lane", F.spark_partition_id() % number).groupBy("chunk", "lane").applyInArrow(_add_chunks, "chunk int, counts binary, lane int, usual double")
+    summed = materialize(lanes.select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary, usual double"), "buckets")
     usual = summed.agg(F.percentile("usual", F.lit(0.5))).first()[0] or 0.0
     out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint8)
-    for row in summed.mapInPandas(partial(_class_bytes, usual=usual), "chunk int, classes binary").toLocalIterator():
+    for row in summed.mapInArrow(partial(_class_bytes, usual=usual), "chunk int, classes binary").toLocalIterator():
         out[row["chunk"]] = np.frombuffer(zlib.decompress(row["classes"]), np.uint8)
     discard(summed)
     return out.reshape(-1)

@@ -48,6 +48,7 @@ def lean(run):
         try:
             yield from run(*args, **kwargs)
         finally:
+            Powers.up = Powers.down = np.ones(1, U)
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -58,7 +59,7 @@ def lean(run):
 
 
 class Powers:
-    """Powers of the base and of its inverse, grown on demand and kept by the worker."""
+    """Powers of the base and of its inverse, grown on demand and kept until a ``lean`` pass ends."""
 
     up = np.ones(1, U)
     down = np.ones(1, U)

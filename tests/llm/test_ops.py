@@ -502,6 +502,14 @@ def test_bucket_counts_restart_before_they_are_full(monkeypatch):
     assert sum(map(int, got)) == 120_000 and len(got) > 1
 
 
+def test_bucket_classes_are_the_same_by_any_number_of_lanes(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{i % 7} common words stand in all texts {i}",) for i in range(60)], "text string").repartition(6)
+    want = jaccard.bucket_classes(df)
+    assert want.any()
+    monkeypatch.setattr(jaccard, "PART_BYTES", 64)
+    assert (jaccard.bucket_classes(df) == want).all()
+
+
 def test_near_duplicates_by_row(spark):
     r = random.Random(6)
     prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]

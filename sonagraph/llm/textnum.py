@@ -67,7 +67,7 @@ class Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, BLOCK_BYTES + 1)
+            size = 1 << (n - 1).bit_length()
             for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
                 steps = np.full(size, base, U)
                 steps[0] = 1

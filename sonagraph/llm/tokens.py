@@ -48,7 +48,7 @@ RULES_PER_ROUND = 8192
 #: Bytes that a worker's caches may hold before they start afresh, and what a cached piece costs beside its ids.
 CACHE_BYTES, PIECE_BYTES = 96 << 20, 200
 #: Bytes of text that are encoded at once, and after which a long text may be cut.
-ENCODE_BYTES = 1 << 19
+ENCODE_BYTES = 1 << 17
 HEAD = struct.Struct("<4s6I")
 
 

@@ -582,3 +582,36 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     left = collections.Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
     assert max(left.values()) < tokens.MIN_COUNT and len(symbols) < 125 * tokens.MIN_COUNT
     assert (next(tokens.Shard(tokens.write_shard([(1, ids)], 50257)).documents())[1] == ids).all()
+
+
+def test_link_below_frequent_pieces(spark):
+    """Two texts share 60 words whose every seed is frequent: others quote 30 of them, which is no passage."""
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared, texts = prose(60), []
+    for i in range(12 * passages.OFTEN):
+        at = i % 3 * 15
+        texts.append(prose(25) + shared[at : at + 30] + prose(25))
+    texts[50:50] = [prose(25) + shared + prose(25) for _ in range(2)]
+    out = passages.passage_report(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["group_id"], x["spans"]) for x in out if x["n_links"]} == {(50, 50, "25:85"), (51, 50, "25:85")}
+
+
+def test_blocks_keep_groups_together(spark, monkeypatch):
+    """Texts that are paired with each other are sent to few blocks, a common partner to all of its own."""
+    monkeypatch.setattr(passages, "BLOCK_PAIRS", 100)
+    pairs = [(100 * g + i, 100 * g + j) for g in range(30) for j in range(14) for i in range(j)] + [(9000, 9001 + i) for i in range(500)]
+    members = spark.createDataFrame([(c, c, 60) for c in {x for p in pairs for x in p}], "doc_id long, cls long, n_words long")
+    dealt = passages._dealt(members, spark.createDataFrame(pairs, "cls long, partner long")).collect()
+    assert sorted((x["cls"], x["partner"]) for x in dealt) == sorted(pairs) and len({x["block"] for x in dealt}) > 10
+    places = {(c, x["block"]) for x in dealt for c in (x["cls"], x["partner"])}
+    assert len(places) <= 30 * 14 + 500 + len({x["block"] for x in dealt})
+
+
+def test_repeated_word_beside_a_longer_run(spark):
+    """150 times one word holds every stretch of another text's 60."""
+    r = random.Random(13)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = [prose(20) + ["du"] * n + prose(20) for n in (150, 60)]
+    out = passages.passage_report(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["spans"] for x in out} == {0: "20:170", 1: "20:80"}

@@ -615,3 +615,25 @@ def test_repeated_word_beside_a_longer_run(spark):
     texts = [prose(20) + ["du"] * n + prose(20) for n in (150, 60)]
     out = passages.passage_report(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert {x["doc_id"]: x["spans"] for x in out} == {0: "20:170", 1: "20:80"}
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    """Few edges are joined without rounds of scratch tables; both ways give the smallest node reachable."""
+    from sonagraph.llm import graph
+
+    r = random.Random(11)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000), (-(2**63), 2**63 - 1)]
+    least = {x: x for u, v in edges if u != v for x in (u, v)}
+    for _ in range(300):
+        for u, v in edges:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label, *done: written.append(label) or write(df, label, *done))
+    frame = spark.createDataFrame(edges, "u long, v long")
+    assert dict(graph.components(frame).collect()) == least
+    assert written == ["components"]
+    assert graph.components(frame.where("u = v")).count() == 0
+    assert dict(graph.components(frame, few=0).collect()) == least
+    assert written.count("edges") > 2

@@ -637,3 +637,21 @@ def test_components_of_few_and_of_many_edges(spark, monkeypatch):
     assert graph.components(frame.where("u = v")).count() == 0
     assert dict(graph.components(frame, few=0).collect()) == least
     assert written.count("edges") > 2
+
+
+def test_passage_of_many_texts_costs_few_pairs(spark, monkeypatch):
+    """A passage of n texts takes pairs in proportion to n, though its ends lie open in all of them; a chain that goes
+    on beyond it, over words that many texts hold as well, is found."""
+    r = random.Random(17)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared, head = prose(60), prose(8)
+    texts = [f"{prose(30)} {shared} {prose(20)}" for _ in range(160)] + [f"{head} {prose(100)}" for _ in range(40)]
+    texts += [f"{prose(12)} {head} {prose(18)} {shared} {prose(20)}" for _ in range(2)]
+    pairs, aligned = [], passages._aligned
+    monkeypatch.setattr(passages, "_aligned", lambda docs, members, found, *done: pairs.append(found.count()) or aligned(docs, members, found, *done))
+    rows = passages.passage_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), partners=False).collect()
+    got = {x["doc_id"]: x for x in rows}
+    assert all(got[i]["spans"] == "30:90" and got[i]["group_id"] == 0 for i in range(160))
+    assert all(got[i]["spans"] == "" for i in range(160, 200))
+    assert [got[i]["spans"] for i in (200, 201)] == ["12:98"] * 2
+    assert sum(pairs) < 10 * len(texts)

@@ -655,3 +655,51 @@ def test_passage_of_many_texts_costs_few_pairs(spark, monkeypatch):
     assert all(got[i]["spans"] == "" for i in range(160, 200))
     assert [got[i]["spans"] for i in (200, 201)] == ["12:98"] * 2
     assert sum(pairs) < 10 * len(texts)
+
+
+def test_extension_from_places_of_one_stretch():
+    """Places that only equal words part are extended together: to where each would be extended by itself."""
+
+    def alone(words, i, j, room, step):
+        best = score = kept = 0
+        for n in range(room):
+            score += 1 if words[i + n * step] == words[j + n * step] else -2
+            if score > best:
+                best, kept = score, n + 1
+            if score <= best - passages.DROP:
+                break
+        return kept
+
+    r = random.Random(19)
+    for _ in range(12):
+        a = [r.randrange(3 if r.random() < 0.3 else 900) for _ in range(700)]
+        b = [w if r.random() > 0.07 else r.randrange(900) for w in a]
+        words = np.array([*a, *b, *a[:300]], np.uint64)
+        i = np.array([r.randrange(700) for _ in range(900)])
+        j = np.clip(i + 700 + np.array([r.choice([0, 0, 0, 0, 1, -3]) for _ in i]), 700, 1399)
+        left, right = np.minimum(i + 1, j - 699), np.minimum(700 - i, 1400 - j)
+        for room, step in ((left, -1), (right, 1)):
+            want = [alone(words, *x, step) for x in zip(i.tolist(), j.tolist(), room.tolist(), strict=True)]
+            assert passages._extend(words, i, j, room, step).tolist() == want
+            # many places of a stretch cost the extension of its ends
+        order, joined = passages._joined(np.concatenate([np.zeros(64, np.uint64), words, np.zeros(64, np.uint64)]), i, j, right, 1)
+        assert sorted(order.tolist()) == list(range(900)) and joined.sum() > 400
+
+
+def test_seeds_are_dealt_in_few_rows():
+    """Each text's seeds, once each, whatever block and bucket they come in; only those of several texts go on."""
+    import pyarrow as pa
+
+    r = random.Random(20)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 400))) for _ in range(40)] + ["", None]
+    texts += [f"{texts[3]} {texts[9]}", texts[5], "du " * 90 + texts[7]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    dealt = [x for part in passages._seeds([batch], 7) for x in part.to_pylist()]
+    assert len(dealt) == 7 and sorted(x["bucket"] for x in dealt) == list(range(7))
+    holders = collections.defaultdict(set)
+    for x in dealt:
+        for seed, cls in zip(np.frombuffer(x["seeds"], np.int64).tolist(), np.frombuffer(x["cls"], np.int64).tolist(), strict=True):
+            holders[seed].add(cls)
+    rows = pa.Table.from_pylist(sorted(dealt, key=lambda x: x["bucket"])).combine_chunks().to_batches(max_chunksize=2)
+    got = [tuple(x.values()) for part in passages._shared(rows) for x in part.to_pylist()]
+    assert sorted(got) == sorted((s, c, len(h)) for s, h in holders.items() if len(h) > 1 for c in h) and len(got) > 100

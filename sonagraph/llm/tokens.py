@@ -127,12 +127,12 @@ class Encoder:
             for part in parts:
                 found += _SPLIT(part) if _PLAIN(part) else [_Odd(*x) for x in self.split.pre_tokenize_str(part)]
                 found.append("\0")
-        fresh = [x for x in set(found) if x not in self.pieces]
-        easy = [x for x in fresh if not isinstance(x, _Odd)]
+        fresh = list(set(found).difference(self.pieces))
+        easy = [x for x in fresh if type(x) is str]
         if easy:
             self._add_pieces(easy, "\0".join(easy).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0]))
-        odd = [x for x in fresh if isinstance(x, _Odd)]
-        if odd:
+        if len(easy) < len(fresh):
+            odd = [x for x in fresh if isinstance(x, _Odd)]
             self._add_pieces(odd, [x.mapped for x in odd])
         number = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         ids, size = _gather(np.frombuffer(self.piece_ids, np.int32), np.frombuffer(self.piece_starts, np.int64), number)
@@ -257,42 +257,58 @@ def _weigh(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, closed: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ``ids``: (rules, symbols, places): ``closed`` marks ids that no pair may extend
     over to the right; places are the symbols' positions among the ids."""
-    seq, shut, place = ids.astype(np.uint32), closed.copy(), np.arange(len(ids))
+    seq, shut, place = ids.astype(np.uint32), closed.copy(), np.arange(len(ids), dtype=np.int32 if len(ids) < 1 << 31 else np.int64)
     rules: list[np.ndarray] = []
-    n_rules = 0
+    n_rules, number = 0, np.empty(1 << 20, np.int32)
     while len(seq) > 1:
         room = min(RULES_PER_ROUND, (1 << 16) - base - n_rules)
         if room <= 0:
             break
         key = (seq[:-1] << np.uint32(16)) | seq[1:]  # symbols have 16 bits
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        count = np.bincount(slot[~shut[:-1]], minlength=1 << 20)
+        slot = ((key * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
+        count = np.bincount(slot, minlength=1 << 20)
+        np.subtract.at(count, slot[shut[:-1]], 1)
         # the slots of the most frequent pairs, then exact counts of the pairs in these
-        spread = np.cumsum(np.bincount(np.minimum(count, 1 << 16))[::-1])
-        least = max(min_count, len(spread) - int(np.searchsorted(spread, room, side="right")))
-        at = np.flatnonzero((count[slot] >= least) & ~shut[:-1])
+        cells = np.flatnonzero(count >= min_count)
+        if len(cells) > room:
+            often = count[cells]
+            cells = cells[often > np.partition(often, -room - 1)[-room - 1]]
+        frequent = np.zeros(1 << 20, bool)
+        frequent[cells] = True
+        at = np.flatnonzero(frequent[slot] & ~shut[:-1])
         if not len(at):
             break
         pair = key[at]
-        kinds, n = np.unique(pair, return_counts=True)
-        best = np.argsort(-n, kind="stable")[:room]
+        number[cells] = np.arange(len(cells))
+        cell = number[slot[at]]
+        # one pair of each slot, then the others
+        one = np.zeros(len(cells), np.uint32)
+        one[cell] = pair
+        odd = np.flatnonzero(one[cell] != pair)
+        more, back, n_more = np.unique(pair[odd], return_inverse=True, return_counts=True)
+        kinds = np.concatenate([one, more])
+        n = np.concatenate([np.bincount(cell, minlength=len(cells)) - np.bincount(cell[odd], minlength=len(cells)), n_more])
+        best = np.lexsort((kinds, -n))[:room]
         best = best[n[best] >= min_count]
         if not len(best):
             break
-        order = np.argsort(best)
-        known = kinds[best[order]]
-        place_ = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-        hit = known[place_] == pair
-        at, chosen = at[hit], order[place_[hit]]
+        rule = np.full(len(kinds), -1)
+        rule[best] = np.arange(len(best))
+        chosen = rule[cell]
+        chosen[odd] = rule[len(cells) + back]
+        hit = chosen >= 0
+        at, chosen = at[hit], chosen[hit]
         # of touching pairs (a run of neighbours) every other one is replaced
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at, chosen = at[since % 2 == 0], chosen[since % 2 == 0]
+        every = np.flatnonzero((since & 1) == 0)
+        at, chosen = at[every], chosen[every]
         seq[at] = base + n_rules + chosen
         shut[at] = shut[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         seq, shut, place = seq[stay], shut[stay], place[stay]
         rules.append(np.stack([(kinds[best] >> np.uint32(16)).astype(np.uint16), (kinds[best] & np.uint32(0xFFFF)).astype(np.uint16)], axis=1))
         n_rules += len(best)

@@ -703,3 +703,19 @@ def test_seeds_are_dealt_in_few_rows():
     rows = pa.Table.from_pylist(sorted(dealt, key=lambda x: x["bucket"])).combine_chunks().to_batches(max_chunksize=2)
     got = [tuple(x.values()) for part in passages._shared(rows) for x in part.to_pylist()]
     assert sorted(got) == sorted((s, c, len(h)) for s, h in holders.items() if len(h) > 1 for c in h) and len(got) > 100
+
+
+def test_rules_are_the_most_frequent_pairs():
+    """A round takes the most frequent pairs, the smaller first among equals, whichever share a slot of the counts."""
+    r = random.Random(21)
+    pairs = [(r.randrange(50000), r.randrange(50000)) for _ in range(30000)]
+    key = np.array([a << 16 | b for a, b in pairs], np.uint32)
+    slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    shared = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] > 1)  # neighbours in one slot
+    times = {pairs[i]: 32 + int(i) % 9 for i in [*shared[:200].tolist(), *range(500)]}
+    ids = np.array([x for p in sorted(times) for _ in range(times[p]) for x in p], np.int32)
+    closed = np.arange(len(ids)) % 2 == 1  # no pair goes on into the next
+    rules, symbols, place = tokens.compress(ids, closed, 50257)
+    want = sorted(times, key=lambda p: (-times[p], p))
+    assert [tuple(x) for x in rules.tolist()] == want and len(symbols) == len(ids) // 2
+    assert place.tolist() == list(range(0, len(ids), 2)) and symbols.tolist() == [50257 + want.index(tuple(p)) for p in ids.reshape(-1, 2).tolist()]
